@@ -252,7 +252,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, parts: int | None = N
             nonlocal number, start
             n = sum(x[1] for x in held)
             as_bytes = lambda k, t: np.array([x[k] for x in held], t).tobytes()
-            row = [[part], [number], [start], [len(held)], [n], [np.array([x[0] is None for x in held]).tobytes()], [np.array([x[0] or 0 for x in held], "<i8").tobytes()], [as_bytes(1, "<u4")], [np.array([len(x[2]) for x in held], "<u4").tobytes()], [b"".join(x[3] for x in held)], [b"".join(x[2] for x in held)]]
+            row = [[part], [number], [start], [len(held)], [n], [np.array([x[0] is None for x in held]).tobytes()], [np.array([x[0] or 0 for x in held], "<i8").tobytes()], [as_bytes(1, "<u4")], [np.array([len(x[2]) for x in held], "<u4").tobytes()], [b"".join(x[2] for x in held)], [b"".join(x[3] for x in held)]]
             number, start = number + 1, start + n
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6], strict=True)], block_names)
