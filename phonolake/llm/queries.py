@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontam, linededup
 from .common import table
 
 #: Where the vocabulary files are: a parameter, by default the installed public files.
@@ -35,11 +36,31 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import drop_boilerplate, host_of, visible_text
+
+    pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), visible_text(F.col("html")).alias("text"))
+    return drop_boilerplate(pages, F.col("host"), F.col("text"), "kept").select("page_id", "host", "n_lines", "n_dropped", "kept")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, scored
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
     return digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_ids, op3_simhash, op10_bpe_automaton)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_ids, op3_simhash, op4_site_lines, op5_decontaminate, op8_toxicity, op10_bpe_automaton)}
+ORACLE_SQL: dict[str, str] = {"op4_site_lines": linededup.PAGES_SQL, "op5_decontaminate": decontam.REPORT_SQL}
