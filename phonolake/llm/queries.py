@@ -29,6 +29,12 @@ def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -62,5 +68,5 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_ids, op3_simhash, op4_site_lines, op5_decontaminate, op8_toxicity, op10_bpe_automaton)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_ids, op2_hnsw, op3_simhash, op4_site_lines, op5_decontaminate, op8_toxicity, op10_bpe_automaton)}
 ORACLE_SQL: dict[str, str] = {"op4_site_lines": linededup.PAGES_SQL, "op5_decontaminate": decontam.REPORT_SQL}
