@@ -62,11 +62,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
     return digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_ids, op2_hnsw, op3_simhash, op4_site_lines, op5_decontaminate, op8_toxicity, op10_bpe_automaton)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_ids, op2_hnsw, op3_simhash, op4_site_lines, op5_decontaminate, op8_toxicity, op9_pii, op10_bpe_automaton)}
 ORACLE_SQL: dict[str, str] = {"op4_site_lines": linededup.PAGES_SQL, "op5_decontaminate": decontam.REPORT_SQL}
