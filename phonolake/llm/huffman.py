@@ -23,9 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import PATTERN, byte_letters
 from .common import column, discard, materialize, scratch, steps
 from .pieces import PieceTable
 
@@ -152,16 +154,21 @@ class Library:
 
         self.of = Tokenizer.from_file(path)
         self.newline = self.of.encode("\n", add_special_tokens=False).ids[0]
+        self.split = regex.compile(PATTERN)
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.table = PieceTable(self.words, lambda t: np.array(self.of.encode(t, add_special_tokens=False).ids, np.uint32), self.newline)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """One call for all words, with line ends between; the library never merges over them."""
-        ids = np.array(self.of.encode("\n".join(words), add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(ids == self.newline)
-        if len(ends) != len(words) - 1:
-            lists = [e.ids for e in self.of.encode_batch(words, add_special_tokens=False)]
-            return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
-        return ids[ids != self.newline], np.diff(ends, prepend=-1, append=len(ids)) - 1
+        """Pre-split as the vocabulary's pattern has it, each part by the library's model."""
+        model, found, letters = self.of.model.tokenize, self.split.findall, self.letters
+        ids, sizes = [], np.empty(len(words), np.int64)
+        for i, w in enumerate(words):
+            before = len(ids)
+            for part in (w,) if w[w[0] == " " :].isalpha() else found(w):
+                part = part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(letters)
+                ids += [t.id for t in model(part)]
+            sizes[i] = len(ids) - before
+        return np.array(ids, np.uint32), sizes
 
 
 _loaded: dict[str, Library] = {}

@@ -19,7 +19,7 @@ NEWLINE = "\n"
 
 
 def plain(text: str) -> bool:
-    return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:] == " " or "<|" in text or ODD.search(text))
+    return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:] == " " or "<|" in text) and (text.replace(NEWLINE, "").isprintable() or not ODD.search(text))
 
 
 class Missing(dict):
@@ -40,7 +40,7 @@ class PieceTable:
     the number of each. newline is the id of a line end. The first `keep` pieces stay for good, later ones for one call,
     so memory is bounded and the pieces that came early, which are the frequent ones, stay."""
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], np.ndarray], newline: int, keep: int = 300_000):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], np.ndarray], newline: int, keep: int = 400_000):
         self.encode_words, self.whole, self.newline, self.keep = encode_words, whole, newline, keep
         self.seen = Missing()
         self.flat = np.empty(0, np.uint32)
