@@ -55,6 +55,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import cross_entropy_difference, good_ids
+
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good_ids(table(spark, sf_dir, "labels")))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, scored
 
@@ -74,5 +86,5 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_ids, op2_hnsw, op3_simhash, op4_site_lines, op5_decontaminate, op8_toxicity, op9_pii, op10_bpe_automaton)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_huffman_ids, op2_hnsw, op3_simhash, op4_site_lines, op5_decontaminate, op6_lm_difference, op7_licenses, op8_toxicity, op9_pii, op10_bpe_automaton)}
 ORACLE_SQL: dict[str, str] = {"op4_site_lines": linededup.PAGES_SQL, "op5_decontaminate": decontam.REPORT_SQL}
