@@ -80,7 +80,7 @@ def merged_tokens(tokens: DataFrame, by: list[str], order: str) -> DataFrame:
 
 
 def future_context(words: Column) -> Column:
-    """words: array<struct<text, tag, ps>>. What each word finds after it, from right to left: (vowel, to), where vowel is
+    """For arrays of sentence length. words: array<struct<text, tag, ps>>. What each word finds after it, from right to left: (vowel, to), where vowel is
     null at the end and after punctuation, and a word without telling characters lets it through."""
     start = F.struct(F.array().cast("array<struct<vowel:boolean,to:boolean>>").alias("out"), F.lit(None).cast("boolean").alias("vowel"), F.lit(False).alias("to"))
 
@@ -93,6 +93,16 @@ def future_context(words: Column) -> Column:
     return F.reverse(F.aggregate(F.reverse(words), start, step, lambda a: a["out"]))
 
 
+def future_context_rows(words: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The same for rows (text, tag, ps) of texts of any length: adds vowel and to, what each word finds after it."""
+    back = Window.partitionBy(*by).orderBy(F.desc(order))
+    kind = T.vowel_context(F.coalesce("ps", F.lit("")))
+    told = F.when(kind == "punctuation", F.struct(F.lit(None).cast("boolean").alias("v"))).when(kind.isNotNull(), F.struct((kind == "vowel").alias("v")))
+    to = F.col("text").isin("to", "To") | ((F.col("text") == "TO") & F.col("tag").isin("TO", "IN"))
+    vowel = F.last(told, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).getField("v")
+    return words.withColumns({"vowel": vowel, "to": F.coalesce(F.lag(to).over(back), F.lit(False))})
+
+
 def joined_boundaries(forms: Column) -> Column:
     """forms: array<struct<form, o_nasal, o_len, ctx, tails>>. Each word's front changes by whether the word before ends in
     a nasal, then the end of the word before by the class of this one."""

@@ -1 +1,12 @@
 """Whole queries: text columns to phoneme columns, for each language."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
+
+
+def widened(df: DataFrame, **columns: str) -> StructType:
+    """The schema of df with more columns."""
+    more = StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in columns.items()))
+    return StructType([*(StructField(f.name, f.dataType) for f in df.schema.fields), *more.fields])

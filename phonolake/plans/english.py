@@ -21,6 +21,7 @@ from ..functions import numbers as N
 from ..functions import phonemes as P
 from ..functions import text as T
 from ..operators.kernels import AffixTokenizer
+from . import widened
 
 #: Lexicon rows that a plan sends to its workers at most; about 100 bytes each.
 MOST_LEXICON = 1_000_000
@@ -512,7 +513,7 @@ def lexicon_tables(lexicon: DataFrame) -> tuple[dict, dict]:
 def phonemize(df: DataFrame, lexicon: DataFrame, text: str = "text", **options) -> DataFrame:
     """Adds phonemes, n_tokens, n_unknown and min_rating. Null text gives nulls. No shuffle."""
     tables = df.sparkSession.sparkContext.broadcast(lexicon_tables(lexicon))
-    schema = df.schema.add("phonemes", "string").add("n_tokens", "long").add("n_unknown", "long").add("min_rating", "int")
+    schema = widened(df, phonemes="string", n_tokens="bigint", n_unknown="bigint", min_rating="int")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = English(*tables.value, **options)

@@ -27,5 +27,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _part in ("words", "phonemes", "readings"):
+for _part in ("words", "phonemes", "readings", "mining", "sequence", "lookup", "pipelines"):
     importlib.import_module(f"{__name__}.{_part}")
