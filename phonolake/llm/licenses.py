@@ -85,7 +85,7 @@ RULES = (
 )
 
 #: Ends of sentences within a line.
-_CUT = r"(?<=[.!?;:])\s+"
+_CUT = r"(?<=[.!?;])\s+"
 
 
 def pattern(ids: tuple[str, ...]) -> str:
@@ -116,7 +116,7 @@ def sentence_ids(text: Column) -> Column:
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
     # place: of a sentence in a line, the line; of one over lines, the line in which it ends
     single = F.flatten(F.transform(lines, lambda x, i: F.transform(F.filter(F.split(x, _CUT), lambda s: _has_sign(F.lower(s))), lambda s, k: F.struct(i.alias("line"), k.alias("nth"), s.alias("s")))))
-    over = F.filter(F.split(text, r"(?<=[.!?;:])\s+|\n\s*\n"), lambda s: F.contains(s, F.lit("\n")) & _has_sign(F.lower(s)))
+    over = F.filter(F.split(text, r"(?<=[.!?;])\s+|(?<=:)\s*\n|\n\s*\n"), lambda s: F.contains(s, F.lit("\n")) & _has_sign(F.lower(s)))
     begin = lambda s: F.size(F.split(F.substring(text, 1, F.instr(text, s)), "\n")) - 1
     multi = F.transform(over, lambda s: F.struct((begin(s) + F.size(F.split(s, "\n")) - 1).alias("line"), F.lit(-1).alias("nth"), s.alias("s")))
     found = F.filter(F.transform(F.array_sort(F.concat(single, multi)), lambda x: _identifier(_normal(x["s"]))), lambda i: i.isNotNull())
