@@ -9,6 +9,10 @@ fingerprints in a small ball) is linked through midpoints instead: two fingerpri
 only if some value is within one bit of both, which takes 65 values for each and no pairs. A leaf returns its
 components as stars, at most one row for each fingerprint, and the stars of all leaves are joined by components().
 
+One fingerprint with two bits of room finds copies that differ little. More of them (`tables`: the same shingles under
+other hash functions) find more: documents link if they do in any table, each table has its own tree, and no wider
+radius is needed, which the triangle bound couldn't prune.
+
 Defined results: null or empty text and text without words has fingerprint zero and links like any other. Fewer words
 than a shingle: the whole sequence is the shingle. Rows that repeat a doc_id are rows of their own. A null doc_id counts
 after all others. An empty table gives no rows.
@@ -36,30 +40,45 @@ LEAF, PER_LEAF, MOST_LEAVES = 8192, 64, 16384
 PAIRS = 512
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
     words = (text or "").encode().lower().split()  # bytes: only A-Z and the six ASCII spaces count
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        grams = [digest(b" ".join(words), SEED)]
-    else:
-        grams = [digest(b" ".join(g), SEED) for g in zip(*(words[i:] for i in range(shingle)), strict=False)]
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(grams), 1 << 15):
-        part = np.array(grams[i : i + (1 << 15)], np.uint64).astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(grams), bitorder="little").view("<u8")[0])
+    if len(words) < size:
+        return [b" ".join(words)] if words else []
+    return [b" ".join(g) for g in zip(*(words[i:] for i in range(size)), strict=False)]
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` and fp (the 64 bits as a signed long) of each row."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", fp long"
+def majority(digests: list[bytes], width: int) -> np.ndarray:
+    """For each bit of digests of `width` bytes whether over half have it, as 64-bit words."""
+    ones = np.zeros(8 * width, np.int64)
+    for i in range(0, len(digests), 1 << 14):
+        part = np.frombuffer(b"".join(digests[i : i + (1 << 14)]), np.uint8).reshape(-1, width)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(digests)).view(">u8").astype(np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return int(fingerprint_tables(text, 1, shingle)[0])
+
+
+def fingerprint_tables(text: str | None, tables: int, shingle: int = SHINGLE) -> np.ndarray:
+    """The first is by XXH64 with the seed, further ones come in pairs from 128-bit hashes with other seeds."""
+    grams = shingles(text, shingle)
+    one, two = xxhash.xxh64_digest, xxhash.xxh3_128_digest
+    parts = [majority([one(g, SEED) for g in grams], 8)]
+    parts += [majority([two(g, SEED + k) for g in grams], 16) for k in range(1, 1 + tables // 2)]
+    return np.concatenate(parts)[:tables]
+
+
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", tables: int = 1) -> DataFrame:
+    """The columns `keep` and fps (array<long>: the 64 bits of each table as a signed number) of each row."""
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", fps array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "_phonolake_text"):
-            fp = np.array([fingerprint(t) for t in column(b, "_phonolake_text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in keep), pa.array(fp)], [*keep, "fp"])
+            fps = [fingerprint_tables(t, tables) for t in column(b, "_phonolake_text").to_pylist()]
+            flat = np.concatenate(fps).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1) * tables, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in keep), lists], [*keep, "fps"])
 
     return docs.select(*keep, F.col(text_col).alias("_phonolake_text")).mapInArrow(run, schema)
 
@@ -185,64 +204,84 @@ def leaf_stars(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """distinct: (fp). Stars (a, b) whose components are those of all pairs that differ in at most NEAR bits."""
-    n = distinct.count()
-    leaves = min(MOST_LEAVES, -(-n // LEAF))
-    share = min(1.0, PER_LEAF * 2 * leaves / max(1, n))
-    sample = np.empty(0, np.uint64)
-    if leaves > 1:
-        got = distinct.filter(F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-        sample = np.sort(got.toPandas()["fp"].to_numpy(np.int64).view(np.uint64))
-    tree = Tree(sample, leaves)
+    """distinct: (t, fp). Stars (t, a, b) whose components are those of all pairs of a table that differ in at most NEAR
+    bits."""
+    trees: dict[int, tuple[Tree, int]] = {}
+    total = 0
+    for r in sorted(distinct.groupBy("t").agg(F.count("*").alias("n")).collect()):
+        leaves = min(MOST_LEAVES, -(-r["n"] // LEAF))
+        sample = np.empty(0, np.uint64)
+        if leaves > 1:
+            share = int(min(1.0, PER_LEAF * 2 * leaves / r["n"]) * (1 << 20)) + 1
+            got = distinct.filter(F.col("t") == r["t"]).filter(F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.lit(1 << 20)) < share).select("fp")
+            sample = np.sort(got.toPandas()["fp"].to_numpy(np.int64).view(np.uint64))
+        trees[r["t"]] = (Tree(sample, leaves), total)
+        total += trees[r["t"]][0].leaves
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for leaf, own in tree.route(np.array(column(b, "fp"), np.int64).view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), leaf, np.int32)), pa.array(own.view(np.int64))], ["leaf", "fp"])
+            of, fps = np.array(column(b, "t")), np.array(column(b, "fp"), np.int64).view(np.uint64)
+            for t in np.unique(of):
+                tree, first = trees[int(t)]
+                for leaf, own in tree.route(fps[of == t]):
+                    n = len(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.full(n, first + leaf, np.int32)), pa.array(own.view(np.int64))], ["t", "leaf", "fp"])
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by leaf; one leaf is held at a time, as a plain array."""
-        leaf, held = None, []
+        now, held = None, []
 
         def out():
             a, b = leaf_stars(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array(b.view(np.int64)), pa.array(a.view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), now[0], np.int32)), pa.array(b.view(np.int64)), pa.array(a.view(np.int64))], ["t", "a", "b"])
 
         for b in batches:
-            of, fps = np.array(column(b, "leaf")), np.array(column(b, "fp"), np.int64).view(np.uint64)
+            ts, of, fps = np.array(column(b, "t")), np.array(column(b, "leaf")), np.array(column(b, "fp"), np.int64).view(np.uint64)
             begins = np.flatnonzero(np.diff(of, prepend=-1))
             for begin, end in zip(begins, [*begins[1:], len(of)], strict=True):
-                if held and of[begin] != leaf:
+                key = (int(ts[begin]), int(of[begin]))
+                if held and key != now:
                     yield out()
                     held = []
-                leaf = of[begin]
+                now = key
                 held.append(fps[begin:end])
         if held:
             yield out()
 
-    routed = distinct.select("fp").mapInArrow(route, "leaf int, fp long").repartition(min(max(1, tree.leaves), 4096), "leaf").sortWithinPartitions("leaf")
-    return routed.mapInArrow(stars, "a long, b long")
+    routed = distinct.select("t", "fp").mapInArrow(route, "t int, leaf int, fp long").repartition(min(max(1, total), 4096), "leaf").sortWithinPartitions("leaf")
+    return routed.mapInArrow(stars, "t int, a long, b long")
 
 
-def near_duplicates(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
     """One row for each row of docs: the columns `keep` (the id by default), fp, component_id (the smallest id reachable)
-    and root (the smallest fingerprint of the component, as a signed long)."""
+    and root, which names the component. With one table, documents are told apart by their fingerprint, with more by a
+    hash of all of them."""
     keep = keep or [id_col]
-    rows = materialize(fingerprints(docs, keep, text_col))
-    distinct = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("first_id")))
-    linked = materialize(components(links(distinct)).selectExpr("vertex AS fp", "root"))
-    whole = distinct.join(linked, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
+    own = F.col("fps")[0] if tables == 1 else F.xxhash64("fps")
+    rows = materialize(fingerprints(docs, keep, text_col, tables).select(*keep, own.alias("v"), "fps"))
+    distinct = materialize(rows.groupBy("v").agg(F.min(id_col).alias("first_id"), F.min("fps").alias("fps")))
+    each = distinct.select("v", F.posexplode("fps").alias("t", "fp"))
+    if tables == 1:
+        edges = links(each.select("t", "fp")).select("a", "b")
+    else:
+        holders = materialize(each.groupBy("t", "fp").agg(F.min("v").alias("holder")))
+        same = each.join(holders, ["t", "fp"]).select(F.col("holder").alias("a"), F.col("v").alias("b"))
+        end = lambda c: holders.select("t", F.col("fp").alias(c), F.col("holder").alias(f"holder_{c}"))
+        near = links(holders.select("t", "fp")).join(end("a"), ["t", "a"]).join(end("b"), ["t", "b"]).select(F.col("holder_a").alias("a"), F.col("holder_b").alias("b"))
+        edges = same.filter("a <> b").union(near)
+    linked = materialize(components(edges).selectExpr("vertex AS v", "root"))
+    whole = distinct.join(linked, "v", "left").select("v", "first_id", F.coalesce("root", "v").alias("root"), F.col("root").isNotNull().alias("linked"))
     ids = whole.filter("linked").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    of = whole.join(ids, "root", "left").select("fp", "root", F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.join(of, "fp", "left").select(*keep, "fp", "component_id", "root")
+    of = whole.join(ids, "root", "left").select("v", "root", F.coalesce("least_id", "first_id").alias("component_id"))
+    return rows.select(*keep, "v", F.col("fps")[0].alias("fp")).join(of, "v", "left").select(*keep, "fp", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays (of rows that tie, one with the
     smallest hash of its columns); all columns stay as they are."""
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     k1, k2 = "_phonolake_k1", "_phonolake_k2"
     keyed = docs.withColumns({k1: F.xxhash64(*hashed), k2: F.xxhash64(F.lit(1), *hashed)})
-    rows = near_duplicates(keyed, [id_col, k1, k2], id_col, text_col)
+    rows = near_duplicates(keyed, [id_col, k1, k2], id_col, text_col, tables)
     stay = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(k1), F.col(k2))).alias("r")).select(f"r.{k1}", f"r.{k2}")
     return keyed.join(stay.distinct(), [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*[f"`{c}`" for c in docs.columns])

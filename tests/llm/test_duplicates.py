@@ -60,8 +60,8 @@ def test_leaves_and_components(spark, monkeypatch, way):
         monkeypatch.setattr(simhash, "_cut", lambda *a, **k: None)
     else:
         monkeypatch.setattr(simhash, "LEAF", 100)
-    stars = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long").repartition(3))
-    root = {r["vertex"]: r["root"] for r in components.components(stars).collect()}
+    stars = simhash.links(spark.createDataFrame([(t, x) for x in fps for t in (0, 3)], "t int, fp long").repartition(3))
+    root = {r["vertex"]: r["root"] for r in components.components(stars.filter("t = 3")).collect()}
     assert [root.get(x, x) for x in fps] == [fps[c] for c in slow_components(fps)]
 
 
@@ -72,6 +72,21 @@ def test_components_of_chains_and_nulls(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_more_tables_link_more(spark):
+    rng = np.random.default_rng(4)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 200)] for _ in range(30)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
+    for i, b in enumerate(base):  # a copy with one word changed, and an exact one
+        c = list(b)
+        c[int(rng.integers(200))] = "changed"
+        rows += [(100 + i, " ".join(c)), (200 + i, " ".join(b))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [simhash.one_of_each(docs, tables=k).count() for k in (1, 7)]
+    got = simhash.near_duplicates(docs, tables=7).collect()
+    assert 30 <= left[1] <= left[0] <= 60 and left[1] <= 35
+    assert all(r["component_id"] in (r["doc_id"] % 100, r["doc_id"] % 100 + 100) for r in got) and {r["component_id"] for r in got if r["doc_id"] < 100} == set(range(30))
+
+
 def test_odd_rows(odd_docs, clashing_docs, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
@@ -80,6 +95,7 @@ def test_odd_rows(odd_docs, clashing_docs, no_docs):
         by.setdefault(r["component_id"], set()).add(r["doc_id"])
     assert by[0] == {0, 1, 2} and by[4] == {4, 5} and by[None] == {None}
     assert simhash.near_duplicates(no_docs).count() == 0
+    assert simhash.one_of_each(clashing_docs, tables=7).count() == len(by) and simhash.one_of_each(no_docs, tables=7).count() == 0
     kept = simhash.one_of_each(clashing_docs)
     assert kept.columns == clashing_docs.columns and kept.count() == len(by) == simhash.one_of_each(odd_docs).count()
 
