@@ -14,6 +14,10 @@ from phonolake.llm.queries import vocabulary
 LINE_RATIO, LINE_HOLDERS, LINE_WORDS, LINE_MOST = 0.003, 5, 3, 0.5
 
 
+#: Fingerprints for each document: copies that differ too much for one of them to show link in another.
+FINGERPRINTS = 7
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon scores below one half."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -32,7 +36,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that SimHash links."""
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, tables=FINGERPRINTS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
