@@ -48,7 +48,7 @@ def anchored(docs: DataFrame, windows: DataFrame, hint) -> DataFrame:
     places = windows.select("w", "words", F.posexplode("words").alias("place", "word"))
     vocabulary = places.select("word").distinct()
     counts = docs.select(F.explode(words_of(F.col("text"))).alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    rarest = places.join(counts, "word", "left").groupBy("w", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("r"))
+    rarest = places.join(hint(counts), "word", "left")  # as many rows as words of the items.groupBy("w", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("r"))
     return windows.join(rarest.filter("r.n > 0"), ["w", "words"]).select("words", "len", "items", F.col("r.word").alias("word"), F.col("r.place").alias("place"))
 
 
