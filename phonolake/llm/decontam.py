@@ -48,7 +48,7 @@ def anchored(docs: DataFrame, windows: DataFrame, hint) -> DataFrame:
     places = windows.select("w", "words", F.posexplode("words").alias("place", "word"))
     vocabulary = places.select("word").distinct()
     counts = docs.select(F.explode(words_of(F.col("text"))).alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    rarest = places.join(hint(counts), "word", "left")  # as many rows as words of the items.groupBy("w", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("r"))
+    rarest = places.join(hint(counts), "word", "left").groupBy("w", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("r"))
     return windows.join(rarest.filter("r.n > 0"), ["w", "words"]).select("words", "len", "items", F.col("r.word").alias("word"), F.col("r.place").alias("place"))
 
 
@@ -64,9 +64,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, carry
     begin = F.col("at") - F.col("place")
     candidates = met.filter((begin >= 0) & (begin + F.col("len") <= F.col("n"))).select(*_K, F.struct(begin.alias("begin"), F.col("len"), F.col("words"), F.col("items")).alias("c"))
     candidates = candidates.groupBy(*_K).agg(F.collect_set("c").alias("_phonolake_c"))
-    rows = docs.select(*(F.col(c).alias(f"_phonolake_{i}") for i, c in enumerate(carry)), "text", *keys).join(candidates, _K, "left")
-    found = F.filter("_phonolake_c", lambda c: F.slice("ws", c["begin"] + 1, c["len"]) == c["words"])
-    rows = rows.withColumn("ws", words_of(F.col("text"))).select("*", F.sort_array(F.when(F.col("_phonolake_c").isNotNull(), found)).alias("f"))
+    text = F.col(f"_phonolake_{carry.index('text')}") if "text" in carry else F.col("text")
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_phonolake_{i}") for i, c in enumerate(carry)), *([] if "text" in carry else ["text"]), *keys).join(candidates, _K, "left")
+    # one-element arrays name the words and what was found, so that each is made once, and only where there are candidates
+    found = F.flatten(F.transform(F.array(words_of(text)), lambda ws: F.filter("_phonolake_c", lambda c: F.slice(ws, c["begin"] + 1, c["len"]) == c["words"])))
+    rows = rows.withColumns({"n_words": F.size(words_of(text)).cast("long"), "f": F.when(F.col("_phonolake_c").isNotNull(), F.sort_array(found))})
     # spans in order of their beginning: each adds what lies past the furthest end so far
     covered = F.aggregate(
         "f",
@@ -76,7 +78,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, carry
     )
     hit = F.coalesce(covered, F.lit(0)).cast("long")
     ids = F.coalesce(F.sort_array(F.array_distinct(F.flatten(F.transform("f", lambda c: c["items"])))), F.array().cast("array<string>"))
-    return rows.select(*(F.col(f"_phonolake_{i}").alias(c) for i, c in enumerate(carry)), F.size("ws").cast("long").alias("n_words"), hit.alias("n_hit"), ids.alias("items"), (hit > 0).alias("contaminated"))
+    return rows.select(*(F.col(f"_phonolake_{i}").alias(c) for i, c in enumerate(carry)), "n_words", hit.alias("n_hit"), ids.alias("items"), (hit > 0).alias("contaminated"))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -86,14 +88,10 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs, all columns as they are, without contaminated rows."""
-    return contamination(docs, items, carry=docs.columns).filter("NOT contaminated").drop("n_words", "n_hit", "items", "contaminated") if not {"n_words", "n_hit", "items", "contaminated"} & set(docs.columns) else _clean_apart(docs, items)
-
-
-def _clean_apart(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """As clean(), for tables whose own columns have the names of results."""
     own = [f"_phonolake_own{i}" for i in range(len(docs.columns))]
-    plain = docs.select("doc_id", "text", *(F.col(c).alias(o) for c, o in zip(docs.columns, own, strict=True)))
-    return contamination(plain, items, carry=own).filter("NOT contaminated").select(*(F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)))
+    plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True) if c not in ("doc_id", "text")))
+    out = contamination(plain, items, carry=plain.columns).filter("NOT contaminated")
+    return out.select(*(F.col(c if c in ("doc_id", "text") else o).alias(c) for c, o in zip(docs.columns, own, strict=True)))
 
 
 #: The same by plain comparison of all runs of words, for DuckDB.
