@@ -47,7 +47,8 @@ def anchored(docs: DataFrame, windows: DataFrame, hint) -> DataFrame:
     document has can't occur and go."""
     places = windows.select("w", "words", F.posexplode("words").alias("place", "word"))
     vocabulary = places.select("word").distinct()
-    counts = docs.select(F.explode(words_of(F.col("text"))).alias("word")).join(hint(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    counts = docs.select(F.explode_outer(words_of(F.col("text"))).alias("word"))  # outer: else the planner makes the words twice, first to test that there are any
+    counts = counts.join(hint(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
     rarest = places.join(hint(counts), "word", "left").groupBy("w", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("r"))
     return windows.join(rarest.filter("r.n > 0"), ["w", "words"]).select("words", "len", "items", F.col("r.word").alias("word"), F.col("r.place").alias("place"))
 
@@ -60,7 +61,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, carry
     anchors = anchored(docs, windows, hint)
     keys = [F.xxhash64("doc_id", "text").alias(_K[0]), F.xxhash64(F.lit(1), "doc_id", "text").alias(_K[1])]
     words = words_of(F.col("text"))
-    met = docs.select(*keys, words.alias("ws")).select(*_K, F.size("ws").alias("n"), F.posexplode("ws").alias("at", "word")).join(hint(anchors), "word")
+    met = docs.select(*keys, words.alias("ws")).select(*_K, F.size("ws").alias("n"), F.posexplode_outer("ws").alias("at", "word")).join(hint(anchors), "word")
     begin = F.col("at") - F.col("place")
     candidates = met.filter((begin >= 0) & (begin + F.col("len") <= F.col("n"))).select(*_K, F.struct(begin.alias("begin"), F.col("len"), F.col("words"), F.col("items")).alias("c"))
     candidates = candidates.groupBy(*_K).agg(F.collect_set("c").alias("_phonolake_c"))

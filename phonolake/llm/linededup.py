@@ -53,7 +53,7 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
     """(host, bad): the keys of each host's boilerplate lines."""
     of = pages.select(host.alias(_HOST), F.filter(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: _key(x, least_words))), lambda k: k.isNotNull()).alias(_LINES))
     totals = of.groupBy(_HOST).agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
-    held = of.select(_HOST, F.explode(_LINES).alias(_LINE)).groupBy(_HOST, _LINE).agg(F.count("*").alias("holders")).filter(F.col("holders") >= least_holders)
+    held = of.select(_HOST, F.explode_outer(_LINES).alias(_LINE)).filter(F.col(_LINE).isNotNull()).groupBy(_HOST, _LINE).agg(F.count("*").alias("holders")).filter(F.col("holders") >= least_holders)
     over = held.join(totals.withColumnRenamed(_HOST, "h"), F.col(_HOST).eqNullSafe(F.col("h"))).filter(F.col("holders") > F.lit(ratio) * F.col("pages"))
     return over.groupBy(_HOST).agg(F.sort_array(F.collect_list(_LINE)).alias(_BAD))
 
