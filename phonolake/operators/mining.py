@@ -18,7 +18,7 @@ def bigrams(tokens: Column) -> Column:
 
 
 def bigram_counts(docs: DataFrame, tokens: Column) -> DataFrame:
-    return docs.select(tokens.alias("_t")).select(F.explode(bigrams(F.col("_t"))).alias("b")).groupBy("b.w1", "b.w2").agg(F.count("*").alias("n"))
+    return docs.select(tokens.alias("_t")).select(F.explode_outer(bigrams(F.col("_t"))).alias("b")).filter("b IS NOT NULL").groupBy("b.w1", "b.w2").agg(F.count("*").alias("n"))
 
 
 def majority_label(rows: DataFrame, key: str, label: str, least: int, share: float) -> DataFrame:

@@ -25,13 +25,13 @@ ph AS (SELECT word, ps, (length(word) % 7) - 2.5 + (length(word) % 2) * 0.5 AS r
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, i, word)"""
+    """(doc_id, lang, i, word). Outer generators: else the planner makes each array twice, first to test that it has rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", T.word_tokens(F.col("text")).alias("ws"))
-    return docs.select("doc_id", "lang", F.posexplode("ws").alias("p", "word")).select("doc_id", "lang", (F.col("p") + 1).cast("long").alias("i"), "word")
+    return docs.select("doc_id", "lang", F.posexplode_outer("ws").alias("p", "word")).filter("p IS NOT NULL").select("doc_id", "lang", (F.col("p") + 1).cast("long").alias("i"), "word")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.split("text", r"[ \t\n\r\f\x0B]+")).alias("word"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode_outer(F.split("text", r"[ \t\n\r\f\x0B]+")).alias("word"))
     return docs.filter("word <> ''")
 
 

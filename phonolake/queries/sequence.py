@@ -13,7 +13,7 @@ _CONV = r"""t AS (SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{M}\p{
 
 
 def _turns(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_ \t\n\r\f\x0B]"), F.lit(0))).alias("p", "word"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode_outer(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_ \t\n\r\f\x0B]"), F.lit(0))).alias("p", "word")).filter("p IS NOT NULL")
     return rows.select("conv_id", "turn", (F.col("p") + 1).cast("long").alias("i"), "word")
 
 

@@ -80,7 +80,7 @@ def sentence_split_filter(spark, sf_dir):
 
 @query(r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '<[^>]*>|&[a-zA-Z]+;', ' ', 'g'), '[\p{L}\p{M}\p{N}_]+')) AS word FROM pages) GROUP BY word")
 def page_word_counts(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(F.explode(T.word_tokens(T.strip_markup(F.col("html")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "pages").select(F.explode_outer(T.word_tokens(T.strip_markup(F.col("html")))).alias("word")).filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query(
