@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import mining as M
-from ..operators.kernels import AffixTokenizer, Hmm, Lattice, Perceptron, align, low_rank
+from ..operators.kernels import AffixTokenizer, Hmm, Lattice, Perceptron, low_rank
 from ..plans import chinese, english, espeak, japanese, seed
 from . import query, table
 from .common import tokens
@@ -145,23 +144,11 @@ def trained_tagger(spark, sf_dir):
 @query()
 def aligned_letters(spark, sf_dir):
     """Letters aligned to units by rounds of counting and aligning; counts are summed over all words each round."""
-    words = tokens(spark, sf_dir).select("word").filter("length(word) BETWEEN 2 AND 20").groupBy("word").count().filter("count >= 5").select("word")
-    units = F.regexp_replace(F.regexp_replace("word", "th", "θ"), "ou", "W")
-    pairs = words.select("word", units.alias("units")).persist()
-    same = pairs.filter(F.length("word") == F.length("units")).select(F.explode(F.arrays_zip(F.split("word", "").alias("l"), F.split("units", "").alias("u"))).alias("z"))
-    probs = M.log_probability(same.select(F.col("z.l").alias("letter"), F.col("z.u").alias("chunk")), "letter", "chunk")
-    out = None
-    for _ in range(2):
-        table_ = {(r["letter"], r["chunk"]): r["lp"] for r in probs.limit(100_000).collect()}  # letters times chunks
+    from ..plans import letters
 
-        def run(batches: Iterator[pd.DataFrame], lp=table_) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"word": b["word"], "emission": [align(list(w), list(u), lp) for w, u in zip(b["word"], b["units"], strict=True)]})
-
-        out = pairs.mapInPandas(run, "word string, emission array<string>").filter("emission IS NOT NULL")
-        each = out.select(F.explode(F.arrays_zip(F.split("word", "").alias("l"), F.col("emission").alias("c"))).alias("z"))
-        probs = M.log_probability(each.select(F.col("z.l").alias("letter"), F.col("z.c").alias("chunk")), "letter", "chunk")
-    return out.select("word", F.array_join("emission", "|").alias("emission"))
+    words = tokens(spark, sf_dir).select("word").filter("length(word) BETWEEN 2 AND 20").groupBy("word").count().filter("count >= 5")
+    pairs = words.select("word", F.regexp_replace(F.regexp_replace("word", "th", "θ"), "ou", "W").alias("phonemes"))
+    return letters.aligned(pairs, 2).select("word", F.array_join("emission", "|").alias("emission"))
 
 
 @query()
@@ -188,3 +175,27 @@ def matrix_factors(spark, sf_dir):
     a, b, row, col, grand = low_rank(x, 16)
     left = x - (a @ b.T + row[:, None] + col[None, :] - grand)
     return spark.createDataFrame([(len(rows), round(float((left**2).sum() / (x**2).sum()), 6))], "n long, rest double")
+
+
+@query()
+def trained_letters(spark, sf_dir):
+    """A letter-to-sound model learned from words that another one reads, and how many of them it reads alike."""
+    from ..plans import letters
+
+    own = _letters()
+    read = F.pandas_udf(lambda s: s.map(own.form), "string")
+    words = tokens(spark, sf_dir).filter("lang = 'es'").select(F.lower("word").alias("word")).filter("word RLIKE '^[a-z]{3,12}$'").distinct()
+    pairs = words.select("word", read("word").alias("phonemes")).filter("phonemes <> ''").persist()
+    shapes = [(0, 1), (0, 0)]
+    made = letters.model(*letters.train(pairs, shapes, 2), shapes)
+    again = F.pandas_udf(lambda s: s.map(made.form), "string")
+    return pairs.select(again("word").alias("made"), "phonemes").agg(F.count("*").alias("n"), F.count_if(F.col("made") == F.col("phonemes")).alias("alike"))
+
+
+@query()
+def sql_functions(spark, sf_dir):
+    from ..functions import sql
+
+    sql.register(spark)
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("phonolake_turns")
+    return spark.sql("SELECT conv_id, turn, cardinal_words(turn) AS turn_words, count(*) AS n_tokens FROM phonolake_turns, LATERAL tokenize(text) GROUP BY ALL")
