@@ -28,6 +28,8 @@ from .common import column, steps
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
 END, UNKNOWN = 0, 1
+#: Target ids that are sent to the tasks as one array of eight bytes each; more of them meet the documents in a join.
+MOST_IDS = 5_000_000
 _KEYS = 1 << (ORDER * BITS)
 
 
@@ -74,8 +76,10 @@ def keys_of(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.
     return keys[inside], np.diff(begin, append=len(codes)) - (ORDER - 1)
 
 
-def counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """docs: (text, target). (key, background, target), summed over all documents."""
+def counts(docs: DataFrame, table: np.ndarray, ids: np.ndarray | None = None) -> DataFrame:
+    """docs: (text, target), or (text, doc_id) with the sorted ids of the target. (key, background, target), summed over
+    all documents."""
+    own = "target" if ids is None else "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -86,7 +90,14 @@ def counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
 
         for b in steps(batches):
             keys, n = keys_of(column(b, "text").to_pylist(), table)
-            good = np.repeat(np.array(column(b, "target").to_pylist(), bool), n)
+            if ids is None:
+                good = np.array(column(b, "target").to_pylist(), bool)
+            else:
+                who = column(b, "doc_id")
+                at = np.array(who.fill_null(0), np.int64)
+                near = np.minimum(np.searchsorted(ids, at), max(0, len(ids) - 1))
+                good = (ids[near] == at if len(ids) else np.zeros(len(at), bool)) & ~np.array(who.is_null())
+            good = np.repeat(good, n)
             found, all_n = np.unique(keys, return_counts=True)
             good_n = np.zeros(len(found), np.int64)
             some, some_n = np.unique(keys[good], return_counts=True)
@@ -98,7 +109,7 @@ def counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
             k, a, g = merged()
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(a), pa.array(g)], ["key", "background", "target"])
 
-    return docs.select("text", "target").mapInArrow(run, "key int, background long, target long").groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    return docs.select("text", own).mapInArrow(run, "key int, background long, target long").groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
 def losses(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -120,8 +131,14 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     """docs: doc_id, text; target_ids: doc_id. (doc_id, n_symbols, h_target, h_background, score) for each row."""
     table = vocabulary(docs)
     good = target_ids.select(F.col("doc_id").alias("_phonolake_good")).filter("_phonolake_good IS NOT NULL").distinct()
-    marked = docs.join(good, F.col("doc_id") == F.col("_phonolake_good"), "left").select("text", F.col("_phonolake_good").isNotNull().alias("target"))
-    got = counts(marked, table).toPandas().sort_values("key")  # at most SYMBOLS ** ORDER rows
+    whole = docs.schema["doc_id"].dataType.typeName() in ("long", "integer") and good.schema[0].dataType.typeName() in ("long", "integer")
+    if whole and good.limit(MOST_IDS + 1).count() <= MOST_IDS:
+        ids = np.sort(good.toPandas()["_phonolake_good"].to_numpy(np.int64))
+        made = counts(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), table, ids)
+    else:
+        marked = docs.join(good.hint("merge"), F.col("doc_id") == F.col("_phonolake_good"), "left").select("text", F.col("_phonolake_good").isNotNull().alias("target"))
+        made = counts(marked, table)
+    got = made.toPandas().sort_values("key")  # at most SYMBOLS ** ORDER rows
     keys = got["key"].to_numpy(np.int64)
     own = [losses(keys, got[c].to_numpy(np.int64)).astype(np.float32) if len(keys) else np.empty(0, np.float32) for c in ("target", "background")]
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -128,6 +128,13 @@ def test_difference_tells_quality(spark):
     assert auc > 0.95
 
 
+def test_both_ways_to_the_target(spark, odd_docs, monkeypatch):
+    ids = spark.createDataFrame([(3,), (4,), (None,), (4,)], "doc_id long")
+    one = lmscore.cross_entropy_difference(odd_docs, ids).orderBy("doc_id").collect()
+    monkeypatch.setattr(lmscore, "MOST_IDS", 1)
+    assert lmscore.cross_entropy_difference(odd_docs, ids).orderBy("doc_id").collect() == one
+
+
 def test_scores_of_odd_rows(spark, odd_docs, clashing_docs, no_docs):
     ids = spark.createDataFrame([(3,), (4,), (None,)], "doc_id long")
     for docs in (odd_docs, clashing_docs, no_docs):
