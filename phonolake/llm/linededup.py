@@ -4,8 +4,8 @@ For each host, the pages that hold a line are counted and divided by the host's
 boilerplate of that host and go from all its pages. A line is identified by two 64-bit hashes with different seeds.
 Every page names a line once, and counts are aggregated before they move, so neither a host with a third of all pages
 nor a line on all of them gathers in one task. Boilerplate lines of a host are fewer than 1 / RATIO times the lines of
-its average page; they go back to the pages by a join on host, whose heavy keys adaptive execution splits, and pages of
-hosts without boilerplate are not looked at again.
+its average page. They are written and counted; up to MOST_BROADCAST of them are sent to the pages, more meet them in a
+join on host, whose heavy keys adaptive execution splits. Pages of hosts without boilerplate are not looked at again.
 
 Where pages are copied within a site, a copy's own lines are frequent too. With `most` below 1 a page loses lines only if
 they make up no more than that share of its text: what is more is a copy, not a page with boilerplate, and stays whole.
@@ -22,9 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 RATIO = 0.3
 LEAST_PAGES = 4
 LEAST_HOLDERS = 3
+#: Boilerplate lines, of all hosts, up to which they are broadcast (16 bytes each).
+MOST_BROADCAST = 500_000
 
 _LINE, _HOST, _BAD, _LINES = "_phonolake_line", "_phonolake_host", "_phonolake_bad", "_phonolake_lines"
 # Elements whose content isn't text, and elements that end a line.
@@ -60,7 +64,9 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
 
 def drop_boilerplate(pages: DataFrame, host: Column, text: Column, into: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_holders: int = LEAST_HOLDERS, least_words: int = 1, most: float = 1.0) -> DataFrame:
     """pages with the text that remains in the column `into`, and n_lines and n_dropped, the lines before and those gone."""
-    bad = boilerplate(pages, host, text, ratio, least_pages, least_holders, least_words).withColumnRenamed(_HOST, "_phonolake_of")
+    bad = materialize(boilerplate(pages, host, text, ratio, least_pages, least_holders, least_words).withColumnRenamed(_HOST, "_phonolake_of"))
+    if (bad.agg(F.sum(F.size(_BAD) + 1)).first()[0] or 0) <= MOST_BROADCAST:
+        bad = F.broadcast(bad)
     rows = pages.withColumn(_HOST, host).join(bad, F.col(_HOST).eqNullSafe(F.col("_phonolake_of")), "left").drop("_phonolake_of")
     lines = F.split(text, "\n")
     stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(_BAD), _key(x, least_words)), F.lit(False)))
