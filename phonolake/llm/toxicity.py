@@ -114,13 +114,21 @@ def _counts(rows: DataFrame, kernel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
-        for b in batches:
+
+        def out() -> pa.RecordBatch:
+            keys = list(seen[0].keys() | seen[1].keys())
+            got = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in seen)], ["f", "n0", "n1"])
+            seen[0].clear()
+            seen[1].clear()
+            return got
+
+        for b in steps(batches):
             for t, toxic in zip(column(b, "text").to_pylist(), column(b, "toxic").to_pylist(), strict=True):
                 seen[toxic].update(kernel(fold(t)))
-        keys = list(seen[0].keys() | seen[1].keys())
-        for i in range(0, len(keys), 50_000):
-            k = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array([seen[0][x] for x in k], pa.int64()), pa.array([seen[1][x] for x in k], pa.int64())], ["f", "n0", "n1"])
+                if len(seen[0]) + len(seen[1]) > 100_000:
+                    yield out()
+        if seen[0] or seen[1]:
+            yield out()
 
     return rows.mapInArrow(run, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
