@@ -35,8 +35,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links."""
-    return simhash.one_of_each(docs, tables=FINGERPRINTS)
+    """One document of each group linked by a similarity of 0.8 or more of their five-word shingles."""
+    return simhash.one_of_similar(docs, tables=FINGERPRINTS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,10 @@ One fingerprint with two bits of room finds copies that differ little. More of t
 other hash functions) find more: documents link if they do in any table, each table has its own tree, and no wider
 radius is needed, which the triangle bound couldn't prune.
 
+One word changed in a long text is within reach of that; a similarity of 0.8 is not: some ten of 64 bits differ then. So
+`similar_rows` adds candidates from min-hash bands over the sets of shingles and tests every candidate, of either kind,
+by the similarity of the sets themselves.
+
 Defined results: null or empty text and text without words has fingerprint zero and links like any other. Fewer words
 than a shingle: the whole sequence is the shingle. Rows that repeat a doc_id are rows of their own. A null doc_id counts
 after all others. An empty table gives no rows.
@@ -38,6 +42,11 @@ NEAR = 2
 LEAF, PER_LEAF, MOST_LEAVES = 8192, 64, 16384
 #: Fingerprints that are compared pair by pair.
 PAIRS = 512
+#: Links by similarity: words of a shingle, and the least similarity of two sets of them (4 of 5). A pair at exactly 0.8
+#: shares none of 20 bands of 5 minima with a probability of 0.0004.
+SIMILAR_SHINGLE, LEAST_SHARE, BANDS, BAND = 5, (4, 5), 20, 5
+
+_K1, _K2 = "_phonolake_k1", "_phonolake_k2"
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
@@ -252,6 +261,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return routed.mapInArrow(stars, "t int, a long, b long")
 
 
+def _table_links(distinct: DataFrame) -> DataFrame:
+    """distinct: (v, fps). Edges (a, b) between values of v that link in any table, as stars."""
+    each = distinct.select("v", F.posexplode("fps").alias("t", "fp"))
+    holders = materialize(each.groupBy("t", "fp").agg(F.min("v").alias("holder")))
+    same = each.join(holders, ["t", "fp"]).select(F.col("holder").alias("a"), F.col("v").alias("b"))
+    end = lambda c: holders.select("t", F.col("fp").alias(c), F.col("holder").alias(f"holder_{c}"))
+    near = links(holders.select("t", "fp")).join(end("a"), ["t", "a"]).join(end("b"), ["t", "b"]).select(F.col("holder_a").alias("a"), F.col("holder_b").alias("b"))
+    return same.filter("a <> b").union(near)
+
+
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
     """One row for each row of docs: the columns `keep` (the id by default), fp, component_id (the smallest id reachable)
     and root, which names the component. With one table, documents are told apart by their fingerprint, with more by a
@@ -260,15 +279,7 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, id_col: str
     own = F.col("fps")[0] if tables == 1 else F.xxhash64("fps")
     rows = materialize(fingerprints(docs, keep, text_col, tables).select(*keep, own.alias("v"), "fps"))
     distinct = materialize(rows.groupBy("v").agg(F.min(id_col).alias("first_id"), F.min("fps").alias("fps")))
-    each = distinct.select("v", F.posexplode("fps").alias("t", "fp"))
-    if tables == 1:
-        edges = links(each.select("t", "fp")).select("a", "b")
-    else:
-        holders = materialize(each.groupBy("t", "fp").agg(F.min("v").alias("holder")))
-        same = each.join(holders, ["t", "fp"]).select(F.col("holder").alias("a"), F.col("v").alias("b"))
-        end = lambda c: holders.select("t", F.col("fp").alias(c), F.col("holder").alias(f"holder_{c}"))
-        near = links(holders.select("t", "fp")).join(end("a"), ["t", "a"]).join(end("b"), ["t", "b"]).select(F.col("holder_a").alias("a"), F.col("holder_b").alias("b"))
-        edges = same.filter("a <> b").union(near)
+    edges = links(distinct.select(F.lit(0).alias("t"), F.col("fps")[0].alias("fp"))).select("a", "b") if tables == 1 else _table_links(distinct)
     linked = materialize(components(edges).selectExpr("vertex AS v", "root"))
     whole = distinct.join(linked, "v", "left").select("v", "first_id", F.coalesce("root", "v").alias("root"), F.col("root").isNotNull().alias("linked"))
     ids = whole.filter("linked").groupBy("root").agg(F.min("first_id").alias("least_id"))
@@ -276,12 +287,120 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, id_col: str
     return rows.select(*keep, "v", F.col("fps")[0].alias("fp")).join(of, "v", "left").select(*keep, "fp", "component_id", "root")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with two hashes of all columns, which tell rows apart."""
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    return docs.withColumns({_K1: F.xxhash64(*hashed), _K2: F.xxhash64(F.lit(1), *hashed)})
+
+
+def _least_of_each(keyed: DataFrame, rows: DataFrame, id_col: str, names: list[str]) -> DataFrame:
+    stay = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(_K1), F.col(_K2))).alias("r")).select(f"r.{_K1}", f"r.{_K2}")
+    return keyed.join(stay.distinct(), [_K1, _K2], "left_semi").dropDuplicates([_K1, _K2]).select(*[f"`{c}`" for c in names])
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 1) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest id stays (of rows that tie, one with the
     smallest hash of its columns); all columns stay as they are."""
-    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    k1, k2 = "_phonolake_k1", "_phonolake_k2"
-    keyed = docs.withColumns({k1: F.xxhash64(*hashed), k2: F.xxhash64(F.lit(1), *hashed)})
-    rows = near_duplicates(keyed, [id_col, k1, k2], id_col, text_col, tables)
-    stay = rows.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(k1), F.col(k2))).alias("r")).select(f"r.{k1}", f"r.{k2}")
-    return keyed.join(stay.distinct(), [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*[f"`{c}`" for c in docs.columns])
+    keyed = _keyed(docs)
+    return _least_of_each(keyed, near_duplicates(keyed, [id_col, _K1, _K2], id_col, text_col, tables), id_col, docs.columns)
+
+
+# -- links by similarity
+
+
+def _bands(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each set (flat from begins[i] on) a key for each band, of BAND minima under hash functions of their own."""
+    rng = np.random.default_rng(SEED)
+    out = np.empty((len(begins), BANDS), np.uint64)
+    for t in range(BANDS):
+        key = np.zeros(len(begins), np.uint64)
+        for x, m in rng.integers(0, 2**64, (BAND, 2), dtype=np.uint64):
+            key = (key ^ np.minimum.reduceat((flat ^ x) * (m | np.uint64(1)), begins)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, t] = key
+    return out
+
+
+def _sketches(docs: DataFrame, keep: list[str], text_col: str, tables: int, shingle: int) -> DataFrame:
+    """keep, v (a hash of the set of shingles), n (its size), fps and bands of each row."""
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", v long, n long, fps array<long>, bands array<long>"
+
+    def lists(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel().view(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "_phonolake_text"):
+            fps, sets = [], []
+            for t in column(b, "_phonolake_text").to_pylist():
+                fps.append(fingerprint_tables(t, tables, shingle))
+                grams = set(shingles(t, shingle))
+                sets.append(np.sort(np.frombuffer(b"".join(xxhash.xxh64_digest(g, SEED) for g in grams), np.uint64)) if grams else np.zeros(1, np.uint64))
+            sizes = np.array([len(s) for s in sets])
+            v = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            bands = _bands(np.concatenate(sets), np.cumsum(sizes) - sizes)
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in keep), pa.array(v), pa.array(sizes, pa.int64()), lists(np.stack(fps)), lists(bands)], [*keep, "v", "n", "fps", "bands"])
+
+    return docs.select(*keep, F.col(text_col).alias("_phonolake_text")).mapInArrow(run, schema)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """pairs: (a, b); texts: (v, text). Those pairs whose sets of shingles have a similarity of LEAST_SHARE or more."""
+    part, whole = LEAST_SHARE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[int | None, set[bytes]]] = {"a": (None, set()), "b": (None, set())}
+        for batch in batches:
+            good = []
+            ends = [column(batch, c) for c in ("a", "b", "text_a", "text_b")]
+            for i in range(batch.num_rows):
+                for c, end, text in (("a", ends[0], ends[2]), ("b", ends[1], ends[3])):
+                    if held[c][0] != end[i].as_py():
+                        held[c] = (end[i].as_py(), set(shingles(text[i].as_py(), shingle)))
+                x, y = held["a"][1], held["b"][1]
+                both = len(x & y)
+                good.append(whole * both >= part * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(ends[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    end = lambda c: texts.select(F.col("v").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
+    return pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def similar_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", tables: int = 1, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """docs with the columns of _keyed. The columns `keep` and root, which names the component, of each row. Rows link if
+    their sets of shingles have a similarity of LEAST_SHARE or more. Candidates are the links of the fingerprints and the
+    sets that share a band; each is tested on the texts. Sets are tested against the least and the greatest of their
+    band first, then against all others of it that don't reach them yet: copies of one text cost two tests each."""
+    rows = materialize(_sketches(docs, list(dict.fromkeys([*keep, _K1, _K2])), text_col, tables, shingle))
+    distinct = materialize(rows.groupBy("v").agg(F.min("n").alias("n"), F.min("fps").alias("fps"), F.min("bands").alias("bands"), F.min(F.struct(_K1, _K2)).alias("k")))
+    each = distinct.select("v", "n", F.posexplode("bands").alias("t", "band"))
+    groups = each.groupBy("t", "band").agg(F.count("*").alias("holders"), F.min("v").alias("least"), F.max("v").alias("most")).filter("holders > 1").drop("holders")
+    members = materialize(each.join(groups, ["t", "band"]))
+    sizes = distinct.select("v", "n")
+
+    def fitting(pairs: DataFrame) -> DataFrame:  # sets of too different a size can't be alike
+        part, whole = LEAST_SHARE
+        got = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        got = got.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+        return got.filter(whole * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b")).select("a", "b")
+
+    stars = members.selectExpr("least AS a", "v AS b").union(members.selectExpr("most AS a", "v AS b"))
+    first = materialize(fitting(_table_links(distinct.select("v", "fps")).union(stars)))
+    of = members.select("v").union(first.select("a")).union(first.select("b")).distinct()
+    wanted = distinct.join(of, "v", "left_semi").select("v", F.col(f"k.{_K1}").alias(_K1), F.col(f"k.{_K2}").alias(_K2))
+    texts = materialize(docs.select(_K1, _K2, F.col(text_col).alias("text")).join(wanted, [_K1, _K2]).dropDuplicates(["v"]).select("v", "text"))
+    edges = materialize(_alike(first, texts, shingle))
+    roots = materialize(components(edges).selectExpr("vertex AS v", "root"))
+    rooted = members.join(roots, "v", "left").select("t", "band", "v", F.coalesce("root", "v").alias("root"))
+    apart = rooted.groupBy("t", "band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("t", "band")
+    open_ = materialize(rooted.join(apart, ["t", "band"]))
+    other = open_.select("t", "band", F.col("v").alias("b"), F.col("root").alias("root_b"))
+    rest = open_.withColumnRenamed("v", "a").join(other, ["t", "band"]).filter("a < b AND root <> root_b").select("a", "b")
+    more = materialize(_alike(fitting(rest).join(first, ["a", "b"], "left_anti"), texts, shingle))
+    linked = materialize(components(edges.union(more)).selectExpr("vertex AS v", "root"))
+    return rows.select(*keep, "v").join(linked, "v", "left").select(*keep, F.coalesce("root", "v").alias("root"))
+
+
+def one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = 1, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """As one_of_each, with links by similarity."""
+    keyed = _keyed(docs)
+    return _least_of_each(keyed, similar_rows(keyed, [id_col, _K1, _K2], id_col, text_col, tables, shingle), id_col, docs.columns)

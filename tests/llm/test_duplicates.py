@@ -87,6 +87,38 @@ def test_more_tables_link_more(spark):
     assert all(r["component_id"] in (r["doc_id"] % 100, r["doc_id"] % 100 + 100) for r in got) and {r["component_id"] for r in got if r["doc_id"] < 100} == set(range(30))
 
 
+def similarity(x, y):
+    a, b = (set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_pipeline_links_from_four_fifths_on(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    rows, gone, kept = [], set(), set()
+    for i in range(400):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        other = list(words)
+        for at in rng.choice(200, 1 + i % 9, replace=False):
+            other[at] = "changed"
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(other))]
+        (gone if similarity(rows[-1][1], rows[-2][1]) >= 0.8 else kept).add(1000 + i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert min(len(gone), len(kept)) > 100 and len(gone & left) <= 2 and kept <= left and set(range(400)) <= left
+
+
+def test_similar_chains_and_odd_rows(spark, odd_docs, clashing_docs, no_docs):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join([f"x{i}" for i in range(4 * k)] + words[4 * k :])) for k in range(12)]  # each like the next only
+    docs = spark.createDataFrame([*rows, (50, " ".join(words[::-1])), (51, " ".join(words[:50]))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_of_similar(docs).collect()) == [0, 50, 51]
+    got = simhash.one_of_similar(clashing_docs, tables=7)
+    assert got.columns == clashing_docs.columns and sorted(r["doc_id"] for r in got.collect() if r["doc_id"] is not None) == [0, 3, 4, 6, 7, 8, 9, 10]
+    assert simhash.one_of_similar(no_docs).count() == 0
+
+
 def test_odd_rows(odd_docs, clashing_docs, no_docs):
     got = simhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
