@@ -10,8 +10,9 @@ from phonolake.llm.common import materialize, table
 from phonolake.llm.queries import vocabulary
 
 #: Lines of a source on more than this share of its documents go. Sources here are mixed sites, so it is far below what
-#: marks a single site's boilerplate; a document that would lose over half of its text is a copy and stays whole.
-LINE_RATIO, LINE_HOLDERS, LINE_WORDS, LINE_MOST = 0.003, 5, 3, 0.5
+#: marks a single site's boilerplate; a document that would lose over half of its text stays whole only if its whole text
+#: is as frequent as such a line. Lines of fewer characters than LINE_CHARS repeat by chance and stay.
+LINE_RATIO, LINE_HOLDERS, LINE_CHARS, LINE_MOST = 0.003, 5, 8, 0.5
 
 
 #: Fingerprints for each document: copies that differ too much for one of them to show link in another.
@@ -26,7 +27,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are frequent in their source; n_chars follows the text."""
     names = docs.columns
-    out = linededup.drop_boilerplate(docs, F.col("source"), F.col("text"), "_phonolake_kept_text", LINE_RATIO, least_holders=LINE_HOLDERS, least_words=LINE_WORDS, most=LINE_MOST)
+    out = linededup.drop_boilerplate(docs, F.col("source"), F.col("text"), "_phonolake_kept_text", LINE_RATIO, least_holders=LINE_HOLDERS, least_chars=LINE_CHARS, most=LINE_MOST)
     changed = {"text": F.col("_phonolake_kept_text")}
     if "n_chars" in names:
         same = F.col("_phonolake_kept_text").eqNullSafe(F.col("text"))

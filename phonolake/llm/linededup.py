@@ -7,9 +7,10 @@ nor a line on all of them gathers in one task. Boilerplate lines of a host are f
 its average page. They are written and counted; up to MOST_BROADCAST of them are sent to the pages, more meet them in a
 join on host, whose heavy keys adaptive execution splits. Pages of hosts without boilerplate are not looked at again.
 
-Where pages are copied within a site, a copy's own lines are frequent too. With `most` below 1 a page loses lines only if
-they make up no more than that share of its text: what is more is a copy, not a page with boilerplate, and stays whole.
-`least_words` spares short lines, which repeat by chance.
+Where pages are copied within a site, a copy's own lines are frequent too. With `most` below 1 a page that would lose
+more than that share of its text stays whole if it is such a copy: its whole text, as the hash of all its lines, is
+counted like a line and must be frequent itself. Other pages lose their frequent lines however many they are.
+`least_chars` spares short lines, which repeat by chance.
 
 Defined results: lines are compared without the white space at their ends; blank lines are neither counted nor dropped.
 Null text has no lines and stays null. Null hosts form one host. Hosts with fewer than LEAST_PAGES pages and lines on
@@ -47,33 +48,42 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, SKIP, ""), BREAK, "\n"), "<[^>]*>", "")
 
 
-def _key(line: Column, least_words: int = 1) -> Column:
+def _key(line: Column, least_chars: int = 1) -> Column:
     stripped = F.btrim(line, F.lit(BLANK))
-    long_enough = F.size(F.split(stripped, r"\s+")) >= least_words if least_words > 1 else F.lit(True)
-    return F.when((stripped != "") & long_enough, F.struct(F.xxhash64(stripped).alias("a"), F.xxhash64(F.lit(1), stripped).alias("b")))
+    return F.when(F.length(stripped) >= least_chars, F.struct(F.xxhash64(stripped).alias("a"), F.xxhash64(F.lit(1), stripped).alias("b")))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_holders: int = LEAST_HOLDERS, least_words: int = 1) -> DataFrame:
-    """(host, bad): the keys of each host's boilerplate lines."""
-    of = pages.select(host.alias(_HOST), F.filter(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: _key(x, least_words))), lambda k: k.isNotNull()).alias(_LINES))
+def _whole(text: Column) -> Column:
+    """The key of a whole text: of all its lines that aren't blank, in order."""
+    keys = F.filter(F.transform(F.split(text, "\n"), _key), lambda k: k.isNotNull())
+    return F.when(F.size(keys) > 0, F.struct(F.xxhash64(F.lit(2), keys).alias("a"), F.xxhash64(F.lit(3), keys).alias("b")))
+
+
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_holders: int = LEAST_HOLDERS, least_chars: int = 1, copies: bool = False) -> DataFrame:
+    """(host, bad): the keys of each host's boilerplate lines, with copies those of its frequent whole texts too."""
+    lines = F.array_distinct(F.transform(F.split(text, "\n"), lambda x: _key(x, least_chars)))
+    if copies:
+        lines = F.concat(lines, F.array(_whole(text)))
+    of = pages.select(host.alias(_HOST), F.filter(lines, lambda k: k.isNotNull()).alias(_LINES))
     totals = of.groupBy(_HOST).agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
     held = of.select(_HOST, F.explode_outer(_LINES).alias(_LINE)).filter(F.col(_LINE).isNotNull()).groupBy(_HOST, _LINE).agg(F.count("*").alias("holders")).filter(F.col("holders") >= least_holders)
     over = held.join(totals.withColumnRenamed(_HOST, "h"), F.col(_HOST).eqNullSafe(F.col("h"))).filter(F.col("holders") > F.lit(ratio) * F.col("pages"))
     return over.groupBy(_HOST).agg(F.sort_array(F.collect_list(_LINE)).alias(_BAD))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text: Column, into: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_holders: int = LEAST_HOLDERS, least_words: int = 1, most: float = 1.0) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, text: Column, into: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_holders: int = LEAST_HOLDERS, least_chars: int = 1, most: float = 1.0) -> DataFrame:
     """pages with the text that remains in the column `into`, and n_lines and n_dropped, the lines before and those gone."""
-    bad = materialize(boilerplate(pages, host, text, ratio, least_pages, least_holders, least_words).withColumnRenamed(_HOST, "_phonolake_of"))
+    bad = materialize(boilerplate(pages, host, text, ratio, least_pages, least_holders, least_chars, most < 1).withColumnRenamed(_HOST, "_phonolake_of"))
     if (bad.agg(F.sum(F.size(_BAD) + 1)).first()[0] or 0) <= MOST_BROADCAST:
         bad = F.broadcast(bad)
     rows = pages.withColumn(_HOST, host).join(bad, F.col(_HOST).eqNullSafe(F.col("_phonolake_of")), "left").drop("_phonolake_of")
     lines = F.split(text, "\n")
-    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(_BAD), _key(x, least_words)), F.lit(False)))
+    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(_BAD), _key(x, least_chars)), F.lit(False)))
     shorter = F.array_join(stays, "\n")
     touched = F.col(_BAD).isNotNull()
     if most < 1:
-        touched = touched & (F.length(shorter) >= F.lit(1 - most) * F.length(text))
+        copy = F.coalesce(F.array_contains(F.col(_BAD), _whole(text)), F.lit(False))
+        touched = touched & ((F.length(shorter) >= F.lit(1 - most) * F.length(text)) | ~copy)
     kept = F.when(touched, shorter).otherwise(text)
     count = lambda a: F.coalesce(F.size(F.filter(a, lambda x: F.btrim(x, F.lit(BLANK)) != "")), F.lit(0))
     n, left = count(lines), F.when(touched, count(stays)).otherwise(count(lines))

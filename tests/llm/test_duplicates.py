@@ -150,6 +150,16 @@ def test_copies_stay_whole(spark):
     assert got[0] == rows[0][2] and got[10] == "own words of 0\nand more own words of 0"
 
 
+def test_pipeline_cleans_pages_that_are_mostly_boilerplate(spark):
+    import corpus_pipeline
+
+    passage, chinese = "the same long passage of many words " * 4, "这是一段在许多文件中重复出现的文字"
+    rows = [(i, f"{passage}\nown {i}\n{chinese}\nAccept all", "s") for i in range(8)] + [(20 + i, "a whole copy of some page\nwith its second line", "s") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert [got[i] for i in range(8)] == [f"own {i}" for i in range(8)] and got[20] == rows[8][1]
+
+
 def test_lines_of_odd_rows(odd_docs, clashing_docs, no_docs):
     for docs in (odd_docs, clashing_docs, no_docs):
         out = linededup.drop_boilerplate(docs, F.col("source"), F.col("text"), "kept")
