@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.kernels import AffixTokenizer, Hmm, Lattice, Perceptron, low_rank
+from ..operators.kernels import AffixTokenizer, Hmm, Lattice, Perceptron
 from ..plans import chinese, english, espeak, japanese, seed
 from . import query, table
 from .common import tokens
@@ -167,14 +167,30 @@ def hmm_segments(spark, sf_dir):
 
 @query()
 def matrix_factors(spark, sf_dir):
-    """A matrix of bounded size (50 rows of the embeddings), its means taken out and its leading factors' share."""
+    """The embeddings as a matrix, its means taken out and what its 16 leading factors leave. The columns' products are
+    summed in Spark, so only they reach the driver."""
     import numpy as np
 
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 50").orderBy("vec_id").select("embedding").collect()
-    x = np.array([r["embedding"] for r in rows])
-    a, b, row, col, grand = low_rank(x, 16)
-    left = x - (a @ b.T + row[:, None] + col[None, :] - grand)
-    return spark.createDataFrame([(len(rows), round(float((left**2).sum() / (x**2).sum()), 6))], "n long, rest double")
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if len(b):
+                x = np.array(b["embedding"].tolist(), np.float64)
+                z = x - x.mean(axis=1, keepdims=True)
+                part = np.concatenate([[len(x), (x**2).sum()], z.sum(axis=0), (z.T @ z).ravel()])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"i": range(len(total)), "s": total})
+
+    rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select("embedding").mapInPandas(products, "i long, s double")
+    got = np.array([r["s"] for r in rows.groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()])
+    if not len(got):
+        return spark.createDataFrame([(0, None)], "n long, rest double")
+    n, square = got[:2]
+    width = math.isqrt(len(got) - 2)
+    sums, gram = got[2 : 2 + width], got[2 + width :].reshape(width, width)
+    values = np.linalg.eigvalsh(gram - np.outer(sums, sums) / n)
+    return spark.createDataFrame([(int(n), round(float(max(0.0, values[:-16].sum()) / square), 6) if square else None)], "n long, rest double")
 
 
 @query()

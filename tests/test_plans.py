@@ -121,3 +121,26 @@ def test_longest_prefix(spark):
 def test_hindi():
     h = espeak.HindiWords({"क": ("a", "b", "c"), "।": ("d", "", "")}, {("ND", n): str(n) for n in range(10)} | {("N", n): f"n{n}" for n in range(100)})
     assert h.read("क") == ("a", False) and h.read("क क") == ("b c", False) and h.read("। ख") == ("d", True) and h("१२") == "n12"
+
+
+def test_cardinals_of_all_keys(spark, tmp_path):
+    from phonolake import queries
+    from phonolake.functions import numbers as N
+
+    keys = [0, 7, 999_999, 1_000_000, 1_000_001, 2_345_678, 6_000_000_000]
+    spark.createDataFrame([(k,) for k in keys * 2], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.QUERIES["cardinal_english"](spark, str(tmp_path)).collect()
+    assert sorted((r["n"], r["words"]) for r in got) == [(k, N.cardinal(k)) for k in keys]
+
+
+def test_factors_of_the_whole_matrix(spark, sf_dir):
+    import numpy as np
+
+    from phonolake import queries
+    from phonolake.operators.kernels import low_rank
+
+    x = np.array([r["embedding"] for r in queries.table(spark, sf_dir, "embeddings").collect()], np.float64)
+    a, b, row, col, grand = low_rank(x, 16)
+    want = ((x - (a @ b.T + row[:, None] + col[None, :] - grand)) ** 2).sum() / (x**2).sum()
+    got = queries.QUERIES["matrix_factors"](spark, sf_dir).first()
+    assert got["n"] == len(x) > 50 and abs(got["rest"] - want) < 2e-6
