@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words of which every known sentence has one at least.
-SIGNS = ("licen", "copyright", "warrant", "spdx", "permission", "redistribut", "rights reserved", "public domain", "creative commons", "as is")
+# Words of which every known sentence has one at least, once it is normalised.
+SIGNS = ("licen", "copyright", "warrant", "spdx", "permission", "redistribut", "rights reserved", "public domain", "creative commons", "cc by", "as is")
 
 # Known sentences, normalised, by identifier.
 SENTENCES = {
@@ -104,10 +104,10 @@ def _identifier(normal: Column) -> Column:
     return F.coalesce(exact, F.get(F.filter(forms, lambda f: F.regexp_like(normal, f["form"])), F.lit(0))["id"])
 
 
-def _has_sign(low: Column) -> Column:
+def _has_sign(normal: Column) -> Column:
     out = F.lit(False)
     for s in SIGNS:
-        out = out | F.contains(low, F.lit(s))
+        out = out | F.contains(normal, F.lit(s))
     return out
 
 
@@ -115,13 +115,13 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order of their place, without those that repeat their predecessor."""
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
     # place: of a sentence in a line, the line; of one over lines, the line in which it ends
-    single = F.flatten(F.transform(lines, lambda x, i: F.transform(F.filter(F.split(x, _CUT), lambda s: _has_sign(F.lower(s))), lambda s, k: F.struct(i.alias("line"), k.alias("nth"), s.alias("s")))))
-    over = F.filter(F.split(text, r"(?<=[.!?;])\s+|(?<=:)\s*\n|\n\s*\n"), lambda s: F.contains(s, F.lit("\n")) & _has_sign(F.lower(s)))
+    single = F.flatten(F.transform(lines, lambda x, i: F.transform(F.filter(F.split(x, _CUT), lambda s: _has_sign(_normal(s))), lambda s, k: F.struct(i.alias("line"), k.alias("nth"), s.alias("s")))))
+    over = F.filter(F.split(text, r"(?<=[.!?;])\s+|(?<=:)\s*\n|\n\s*\n"), lambda s: F.contains(s, F.lit("\n")) & _has_sign(_normal(s)))
     begin = lambda s: F.size(F.split(F.substring(text, 1, F.instr(text, s)), "\n")) - 1
     multi = F.transform(over, lambda s: F.struct((begin(s) + F.size(F.split(s, "\n")) - 1).alias("line"), F.lit(-1).alias("nth"), s.alias("s")))
     found = F.filter(F.transform(F.array_sort(F.concat(single, multi)), lambda x: _identifier(_normal(x["s"]))), lambda i: i.isNotNull())
     once = F.filter(F.transform(found, lambda x, i: F.when((i == 0) | (x != F.get(found, i - 1)), x)), lambda x: x.isNotNull())
-    return F.when(text.isNotNull() & _has_sign(F.lower(text)), once).otherwise(F.array().cast("array<string>"))
+    return F.when(text.isNotNull() & _has_sign(_normal(text)), once).otherwise(F.array().cast("array<string>"))
 
 
 def licenses(ids: Column) -> Column:

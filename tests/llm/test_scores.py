@@ -163,6 +163,14 @@ def test_every_known_sentence_has_a_sign():
     assert all(any(s in k for s in licenses.SIGNS) for k in licenses.SENTENCES if k not in ("see the gnu general public license for more details",)) and all(k == re.sub("[^a-z0-9]+", " ", k) for k in licenses.SENTENCES)
 
 
+SHORTEST = [("Released under CC BY 4.0.", "CC-BY-4.0"), ("This work is available under CC-BY-SA 4.0.", "CC-BY-SA-4.0"), ("Covered under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Provided under CC  BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Published under CC\nBY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"), ("All rights\nreserved.", "All-Rights-Reserved"), ("All rights  reserved.", "All-Rights-Reserved"), ("This is free and unencumbered software released into the public\ndomain.", "Unlicense")]
+
+
+def test_signs_hold_for_short_and_wrapped_sentences(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SHORTEST)], "doc_id long, text string")
+    assert {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()} == {i: n for i, (_, n) in enumerate(SHORTEST)}
+
+
 def test_scan_of_odd_rows(odd_docs, clashing_docs, no_docs):
     for docs in (odd_docs, clashing_docs, no_docs):
         assert licenses.scan(docs).count() == docs.count()
