@@ -4,8 +4,12 @@ An item's windows are its runs of WINDOW words (an item of fewer words is one wi
 if it holds all its words, so of the window's words, ordered by how rare they are in all documents, the first is a
 sufficient prefix. Documents meet windows on that word alone; the word's place in the window gives the place where the
 window would begin, and candidates that would begin before the document or end after it go at once. What remains is
-verified word by word against the document. Counting, probing and verifying each read the documents once; only the
-verified join moves them.
+verified word by word in the same step, where the document's words still are: what moves is one short row for each
+document and one for each window that really occurs, never a text. Documents are read twice, once to count words and
+once to probe.
+
+Windows are sent to the documents. Their bytes are counted first: of more than MOST_BYTES, as many blocks are made as
+it takes, and the documents are probed once for each block. Which items hold a window is joined afterwards.
 
 Defined results: null and empty texts have no words, are never contaminated and, as items, have no windows. Items with
 the same words count separately. Repeated document rows are judged each. An empty benchmark gives zeros; an empty
@@ -14,85 +18,128 @@ documents table no rows. Other columns are not looked at.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW = 10
-#: Windows up to which their side of a join is broadcast (about 200 bytes each); above, the joins are shuffled.
-MOST_BROADCAST = 200_000
+#: Bytes of windows, or of words to be counted, or of keys of rows to drop, that are broadcast at once.
+MOST_BYTES = 32 << 20
 
-# The letters to fold, and the characters that words consist of.
+# The letters to fold, and the characters that words consist of: letters and digits one by one, which Java's
+# matcher finds in a table (ranges it compares one after another, seven times slower).
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = "[" + LOWER + UPPER + "0123456789" + r"\x{80}-\x{10FFFF}]+"
 
 _K = ["_phonolake_k1", "_phonolake_k2"]
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text with A-Z lowered; none for null. Plain ASCII takes the faster of two equal ways."""
-    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.coalesce(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+def folded(x: Column) -> Column:
+    """A-Z lowered. Plain ASCII takes the faster of two equal ways."""
+    return F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER))
+
+
+def raw_words(text: Column) -> Column:
+    """The words of a text as they are written; none for null."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+
+
+def row_keys() -> list[Column]:
+    """Two hashes of doc_id and text, which tell rows apart; rows that are equal in both get equal results."""
+    return [F.xxhash64("doc_id", "text").alias(_K[0]), F.xxhash64(F.lit(1), "doc_id", "text").alias(_K[1])]
 
 
-def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(w, words, len, items): distinct windows with the ids, as sorted strings, of the items that have them."""
-    words = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
+def windows_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(w, words, len) of the distinct windows, w being their number, and (w, item_id) of the items that hold them."""
+    words = items.select(F.col("item_id").cast("string").alias("item_id"), F.transform(raw_words(F.col("text")), folded).alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - window + 1))
-    each = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, window))).alias("words"))
-    return each.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items")).select(F.xxhash64("words").alias("w"), "words", F.size("words").alias("len"), "items")
-
-
-def anchored(docs: DataFrame, windows: DataFrame, hint) -> DataFrame:
-    """Windows with their rarest word among all words of the documents, and its place; those with a word that no
-    document has can't occur and go."""
-    places = windows.select("w", "words", F.posexplode("words").alias("place", "word"))
-    vocabulary = places.select("word").distinct()
-    counts = docs.select(F.explode_outer(words_of(F.col("text"))).alias("word"))  # outer: else the planner makes the words twice, first to test that there are any
-    counts = counts.join(hint(vocabulary), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    rarest = places.join(hint(counts), "word", "left").groupBy("w", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("r"))
-    return windows.join(rarest.filter("r.n > 0"), ["w", "words"]).select("words", "len", "items", F.col("r.word").alias("word"), F.col("r.place").alias("place"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
-    """For each row of docs: the columns `carry` (doc_id by default), n_words, n_hit, items (sorted ids), contaminated."""
-    carry = carry or ["doc_id"]
-    windows = windows_of(items, window)
-    hint = F.broadcast if windows.count() <= MOST_BROADCAST else (lambda df: df)
-    anchors = anchored(docs, windows, hint)
-    keys = [F.xxhash64("doc_id", "text").alias(_K[0]), F.xxhash64(F.lit(1), "doc_id", "text").alias(_K[1])]
-    words = words_of(F.col("text"))
-    met = docs.select(*keys, words.alias("ws")).select(*_K, F.size("ws").alias("n"), F.posexplode_outer("ws").alias("at", "word")).join(hint(anchors), "word")
-    begin = F.col("at") - F.col("place")
-    candidates = met.filter((begin >= 0) & (begin + F.col("len") <= F.col("n"))).select(*_K, F.struct(begin.alias("begin"), F.col("len"), F.col("words"), F.col("items")).alias("c"))
-    candidates = candidates.groupBy(*_K).agg(F.collect_set("c").alias("_phonolake_c"))
-    text = F.col(f"_phonolake_{carry.index('text')}") if "text" in carry else F.col("text")
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"_phonolake_{i}") for i, c in enumerate(carry)), *([] if "text" in carry else ["text"]), *keys).join(candidates, _K, "left")
-    # one-element arrays name the words and what was found, so that each is made once, and only where there are candidates
-    found = F.flatten(F.transform(F.array(words_of(text)), lambda ws: F.filter("_phonolake_c", lambda c: F.slice(ws, c["begin"] + 1, c["len"]) == c["words"])))
-    rows = rows.withColumns({"n_words": F.size(words_of(text)).cast("long"), "f": F.when(F.col("_phonolake_c").isNotNull(), F.sort_array(found))})
+    each = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, window))).alias("words")).distinct()
+    grouped = materialize(each.groupBy("words").agg(F.collect_set("item_id").alias("items")).withColumn("w", F.monotonically_increasing_id()))
+    return grouped.select("w", "words", F.size("words").alias("len")), grouped.select("w", F.explode("items").alias("item_id"))
+
+
+def anchored(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Windows with their rarest word among all words of the documents, as its hash, and its place; those with a word that
+    no document has can't occur and go. Words that share a hash are counted together, which can only make the choice of
+    the rarest a worse one, never the result."""
+    places = windows.select("w", F.posexplode("words").alias("place", "word")).select("w", "place", F.xxhash64("word").alias("h"))
+    vocabulary = materialize(places.select("h").distinct())
+    each = docs.select(F.explode_outer(raw_words(F.col("text"))).alias("word"))  # outer: else the planner makes the words twice, first to test that there are any
+    words = each.select(F.xxhash64(folded(F.col("word"))).alias("h"))
+    if 16 * vocabulary.count() <= MOST_BYTES:
+        counts = words.join(F.broadcast(vocabulary), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
+    else:  # all words are counted before they meet the vocabulary
+        counts = words.groupBy("h").agg(F.count("*").alias("n")).join(vocabulary, "h", "left_semi")
+    rarest = places.join(counts, "h").groupBy("w").agg(F.count("*").alias("known"), F.min(F.struct("n", "h", "place")).alias("r"))
+    return windows.join(rarest, "w").filter("known = len").select("w", "words", "len", "r.h", "r.place")
+
+
+def blocks_of(anchors: DataFrame) -> list[DataFrame]:
+    """The anchored windows in blocks of at most about MOST_BYTES."""
+    made = materialize(anchors)
+    size = made.agg(F.sum(F.lit(64) + F.aggregate("words", F.lit(0), lambda a, x: a + F.octet_length(x) + 16))).first()[0] or 0
+    n = -(-size // MOST_BYTES)
+    return [made] if n < 2 else [made.filter(F.pmod(F.xxhash64("w"), F.lit(n)) == i) for i in range(n)]
+
+
+def occurrences(docs: DataFrame, block: DataFrame, every: bool) -> DataFrame:
+    """(keys, doc_id, n, begin, len, w): a row for each window of the block that occurs in a document; with `every`, one
+    more for each document, with its number of words as n and no window."""
+    words = raw_words(F.col("text"))
+    ahead = F.array(F.lit(""))  # no word is empty: this one stands for the document itself
+    each = docs.select(*row_keys(), "doc_id", (F.concat(ahead, words) if every else words).alias("ws")).select(*_K, "doc_id", "ws", F.posexplode_outer("ws").alias("at", "word"))
+    met = each.withColumn("h", F.xxhash64(folded(F.col("word")))).join(F.broadcast(block), "h", "left" if every else "inner")
+    shift = 1 if every else 0
+    begin = F.col("at") - shift - F.col("place")
+    inside = (begin >= 0) & (begin + F.col("len") + shift <= F.size("ws"))
+    there = F.slice("ws", F.greatest(begin, F.lit(0)) + 1 + shift, F.col("len"))
+    # joined, not word by word: a function over arrays would end the generated code here, and each word would take along
+    # a copy of its document
+    held = F.coalesce(inside & (folded(F.array_join(there, " ")) == F.array_join("words", " ")), F.lit(False))
+    own = (F.col("at") == 0) if every else F.lit(False)
+    rows = met.filter(own | held)
+    some = lambda c: F.when(~own, c)
+    return rows.select(*_K, "doc_id", F.when(own, F.size("ws") - 1).alias("n"), some(begin).alias("begin"), some(F.col("len")).alias("len"), some(F.col("w")).alias("w"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """For each row of docs: doc_id, n_words, n_hit, items (sorted ids), contaminated."""
+    windows, holders = windows_of(items, window)
+    blocks = blocks_of(anchored(docs, windows))
+    met = reduce(DataFrame.unionByName, [occurrences(docs, b, i == 0) for i, b in enumerate(blocks)])
+    span = F.when(F.col("begin").isNotNull(), F.struct("begin", (F.col("begin") + F.col("len")).alias("end")))
+    each = met.groupBy(*_K, "doc_id").agg(F.count("n").alias("rows"), F.max("n").alias("n"), F.collect_set(span).alias("spans"), F.collect_set("w").alias("ws"))
+    each = materialize(each)
+    of = each.select(*_K, F.explode("ws").alias("w")).join(holders, "w").groupBy(*_K).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     # spans in order of their beginning: each adds what lies past the furthest end so far
     covered = F.aggregate(
-        "f",
+        F.sort_array("spans"),
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
-        lambda a, c: F.struct(F.greatest(a["end"], c["begin"] + c["len"]).alias("end"), (a["n"] + F.greatest(F.lit(0), c["begin"] + c["len"] - F.greatest(a["end"], c["begin"]))).alias("n")),
+        lambda a, c: F.struct(F.greatest(a["end"], c["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), c["end"] - F.greatest(a["end"], c["begin"]))).alias("n")),
         lambda a: a["n"],
     )
-    hit = F.coalesce(covered, F.lit(0)).cast("long")
-    ids = F.coalesce(F.sort_array(F.array_distinct(F.flatten(F.transform("f", lambda c: c["items"])))), F.array().cast("array<string>"))
-    return rows.select(*(F.col(f"_phonolake_{i}").alias(c) for i, c in enumerate(carry)), "n_words", hit.alias("n_hit"), ids.alias("items"), (hit > 0).alias("contaminated"))
+    out = each.join(of, _K, "left").select("doc_id", F.col("n").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("copy"))
+    return out.select("doc_id", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    out = contamination(docs, items)
+    out = contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs, all columns as they are, without contaminated rows."""
-    own = [f"_phonolake_own{i}" for i in range(len(docs.columns))]
-    plain = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True) if c not in ("doc_id", "text")))
-    out = contamination(plain, items, carry=plain.columns).filter("NOT contaminated")
-    return out.select(*(F.col(c if c in ("doc_id", "text") else o).alias(c) for c, o in zip(docs.columns, own, strict=True)))
+    texts = docs.select("doc_id", "text")
+    blocks = blocks_of(anchored(texts, windows_of(items.select("item_id", "text"))[0]))
+    bad = materialize(reduce(DataFrame.unionByName, [occurrences(texts, b, False) for b in blocks]).select(*_K).distinct())
+    if 24 * bad.count() <= MOST_BYTES:
+        bad = F.broadcast(bad)
+    one, two = row_keys()
+    own = docs.withColumns({_K[0]: one, _K[1]: two})
+    return own.join(bad, _K, "left_anti").drop(*_K)
 
 
 #: The same by plain comparison of all runs of words, for DuckDB.

@@ -25,14 +25,20 @@ def slow_report(text, items):
     return len(ws), len(hit), sorted(found)
 
 
-def test_windows_by_force(spark):
+@pytest.mark.parametrize("most", [decontam.MOST_BYTES, 1500])
+def test_windows_by_force(spark, monkeypatch, most):
+    """With all windows sent at once, and in several blocks."""
+    monkeypatch.setattr(decontam, "MOST_BYTES", most)
     rng = random.Random(2)
-    items = [(i, " ".join(rng.choice("abcd") for _ in range(rng.choice([0, 2, 3, 9, 10, 14])))) for i in range(8)] + [(8, None), (9, "a b"), (10, "A, b!")]
-    docs = [(i, " ".join(rng.choice("ABcd") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(40, None), (41, ""), (3, "a b"), (3, "a b")]
-    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), carry=["doc_id", "text"]).collect()
-    assert len(got) == len(docs)
-    for r in got:
-        assert (r["n_words"], r["n_hit"], r["items"]) == slow_report(r["text"], items)
+    items = [(i, " ".join(rng.choice("abcd") for _ in range(rng.choice([0, 2, 3, 9, 10, 14])))) for i in range(8)] + [(8, None), (9, "a b"), (10, "A, b!"), (11, "é Ü a")]
+    docs = [(i, " ".join(rng.choice("ABcd") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(40, None), (41, ""), (3, "a b"), (3, "a b"), (42, "x é Ü A\x00b ü")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(*frames).collect()
+    want = sorted((i, *slow_report(t, items)) for i, t in docs)
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got) == want
+    assert all(r["contaminated"] == (r["n_hit"] > 0) for r in got)
+    clean = sorted((r["doc_id"], r["text"] or "") for r in decontam.clean(*frames).collect())
+    assert clean == sorted((i, t or "") for i, t in docs if not slow_report(t, items)[1])
 
 
 def test_clean_keeps_columns(spark, odd_docs, clashing_docs, no_docs):
@@ -223,7 +229,7 @@ def test_pipeline(spark, sf_dir):
     text = {r["doc_id"]: r["text"] for r in seen.collect()}
     assert all(r["decoded"] == text[r["doc_id"]] and r["n_tokens"] == len(r["ids"]) for r in rows)
     assert seen.count() == simhash.near_duplicates(seen).select("component_id").distinct().count()
-    assert not decontam.contamination(seen, table(spark, sf_dir, "benchmark")).filter("contaminated").count()
+    assert not decontam.contamination(seen.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).filter("contaminated").count()
 
 
 def test_stages_on_odd_rows(spark, odd_docs, sf_dir):
