@@ -1,8 +1,9 @@
 """Operator 2: approximate nearest neighbours by a hierarchical navigable small-world graph for each shard.
 
 Vectors go to shards of about SHARD rows by a hash of their id, so equal vectors spread evenly. A task builds its
-shard's graph and stores it as flat arrays (vectors, ids, one neighbour array for each level) in the shared folder; the
-search joins shards with blocks of queries and merges their nearest. Inner product is no distance, so each vector gets
+shard's graph and stores it as flat arrays (vectors, ids, one neighbour array for each level) in the shared folder. There
+shards stay: the search sends them the queries, in blocks, some MOST_BYTES of them at a time, and merges the nearest that
+each shard finds for each query. Inner product is no distance, so each vector gets
 one more component that makes all of a shard equally long; then the largest inner product is the least distance.
 Equal vectors of a shard are one node with its ids in order. Points enter the graph in batches that double with it: a
 batch searches the graph as it is, sees its own members too, and then all its links are made at once. Search goes down
@@ -11,25 +12,26 @@ in double precision on the original vectors, component after component, so equal
 
 Defined results: vectors that are null, empty or zero, or hold null, NaN or infinite components, and rows with null ids
 take no part, neither as queries nor as candidates. Vectors meet those of their own dimension only. A query with fewer
-candidates than asked for gets all that were found. Ties go to the smaller id. Rows that repeat an id are candidates
-each, but not for a query of the same id. An empty table gives no rows.
+candidates than asked for gets all that were found. Ties go to the smaller id. Rows that repeat an id and its vector count
+once, as queries and as candidates. Rows that repeat an id with other vectors are candidates each, but not for a query of
+the same id, and queries each, ranked apart. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, materialize
+from .common import column, discard, materialize
 
 TOP = 20
 SHARD = 8192
-#: Queries of a block: what one search task holds besides one shard.
-BLOCK = 2048
+#: Bytes of a block of queries, which one search step takes, and of all queries that are sent to the shards at once.
+BLOCK_BYTES, MOST_BYTES = 1 << 20, 16 << 20
 LINKS, EF_BUILD, EF_SEARCH = 16, 64, 192
 #: Candidates that one step of a search opens for each query at once.
 OPEN = 4
@@ -201,15 +203,15 @@ class Graph:
         return self._search(queries, 0, self._descend(queries, 0), min(ef, n), n)[0]
 
     def pack(self) -> dict[str, bytes | list]:
-        return {"data": self.data.astype("<f4").tobytes(), "levels": [len(a) for a in self.near], "widths": [a.shape[1] for a in self.near], "near": b"".join(a.astype("<i4").tobytes() for a in self.near)}
+        return {"levels": [len(a) for a in self.near], "widths": [a.shape[1] for a in self.near], "near": b"".join(a.astype("<i4").tobytes() for a in self.near)}
 
     @classmethod
-    def unpack(cls, data: bytes, levels: list[int], widths: list[int], near: bytes) -> Graph:
+    def unpack(cls, data: np.ndarray, levels: list[int], widths: list[int], near: bytes) -> Graph:
         flat, out, at = np.frombuffer(near, "<i4"), [], 0
         for m, w in zip(levels, widths, strict=True):
             out.append(flat[at : at + m * w].reshape(m, w))
             at += m * w
-        return cls(np.frombuffer(data, "<f4").reshape(levels[0], -1), out)
+        return cls(data, out)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,104 +238,130 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, str]) -> Iterator[tuple[tuple[int, int], list[pa.RecordBatch]]]:
+    """Of rows sorted by two whole numbers: those of each pair, as slices."""
+    held, key = [], None
+    for b in batches:
+        one, two = (np.array(column(b, k)) for k in keys)
+        cuts = np.flatnonzero((np.diff(one, prepend=-1) != 0) | (np.diff(two, prepend=-1) != 0))
+        for lo, hi in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+            now = (int(one[lo]), int(two[lo]))
+            if held and now != key:
+                yield key, held
+                held = []
+            key = now
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield key, held
+
+
+def _stacked(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.array(column(p, "vec_id")) for p in parts]), np.concatenate([np.array(column(p, "v").flatten()).reshape(p.num_rows, -1) for p in parts])
+
+
+def _dealt(rows: DataFrame, sizes: dict[int, int], salt: int, name: str) -> DataFrame:
+    """rows with a number below sizes[dim], sorted by dim and it."""
+    of = F.lit(0)
+    for dim, n in sizes.items():
+        of = F.when(F.col("dim") == dim, F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")).otherwise(of)
+    dealt = rows.withColumn(name, of).repartition(max(1, sum(sizes.values())), "dim", name)
+    return dealt.sortWithinPartitions("dim", name, "vec_id").select("dim", name, "vec_id", "v")
+
+
+def _sizes(rows: DataFrame, each: Callable[[int], int]) -> dict[int, int]:
+    return {r["dim"]: -(-r["n"] // each(r["dim"])) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+
+
 def build_index(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
     """vectors: (vec_id, v). One row for each shard: dim, shard and the flat arrays."""
     rows = vectors.select("vec_id", "v", F.size("v").alias("dim"))
-    shards = {r["dim"]: -(-r["n"] // shard_rows) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    of = F.lit(0)
-    for dim, n in shards.items():
-        of = F.when(F.col("dim") == dim, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).otherwise(of)
-    schema = "dim int, shard int, ids binary, counts binary, original binary, data binary, levels array<int>, widths array<int>, near binary"
+    schema = "dim int, shard int, ids binary, counts binary, original binary, levels array<int>, widths array<int>, near binary"
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-
-        def out():
-            ids = np.concatenate([h[0] for h in held])
-            x = np.concatenate([h[1] for h in held])
-            node_of = np.unique(x, axis=0, return_inverse=True)
-            data, inverse = node_of[0], node_of[1].ravel()
+        for key, parts in _runs(batches, ("dim", "shard")):
+            ids, x = _stacked(parts)
+            data, inverse = np.unique(x, axis=0, return_inverse=True)
+            inverse = inverse.ravel()
             order = np.lexsort((ids, inverse))
+            ids, inverse = ids[order], inverse[order]
+            first = np.ones(len(ids), bool)
+            first[1:] = (ids[1:] != ids[:-1]) | (inverse[1:] != inverse[:-1])
+            ids, inverse = ids[first], inverse[first]
             counts = np.bincount(inverse, minlength=len(data))
-            begin = np.cumsum(counts) - counts
-            # the search may end with TOP others; the smallest TOP + 1 ids of equal vectors are all it can return
-            within = np.arange(len(ids)) - np.repeat(begin, counts)
-            keep = within <= TOP
-            length = np.einsum("nd,nd->n", data, data)
-            extra = np.sqrt(np.maximum(0, length.max() - length))
-            graph, put = Graph.build(np.concatenate([data, extra[:, None]], axis=1).astype(np.float32))
-            kept, counts = ids[order][keep], np.minimum(counts, TOP + 1)
-            lists = np.split(kept, np.cumsum(counts)[:-1])
+            graph, put = Graph.build(augmented(data))
+            lists = np.split(ids, np.cumsum(counts)[:-1])
             packed = graph.pack()
-            row = [key[0], key[1], np.concatenate([lists[i] for i in put]).astype("<i8").tobytes(), counts[put].astype("<i4").tobytes(), data[put].astype("<f8").tobytes(), packed["data"], packed["levels"], packed["widths"], packed["near"]]
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
-
-        for b in batches:
-            dims, shards = np.array(column(b, "dim")), np.array(column(b, "shard"))
-            cuts = np.flatnonzero(np.diff(dims, prepend=-1) | np.diff(shards, prepend=-1))
-            for lo, hi in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
-                now = (int(dims[lo]), int(shards[lo]))
-                if held and now != key:
-                    yield out()
-                    held.clear()
-                key = now
-                part = column(b, "v").slice(lo, hi - lo)
-                held.append((np.array(column(b, "vec_id").slice(lo, hi - lo)), np.array(part.flatten()).reshape(hi - lo, -1)))
-        if held:
-            yield out()
-
-    dealt = rows.withColumn("shard", of).repartition(max(1, min(4096, sum(shards.values()))), "dim", "shard").sortWithinPartitions("dim", "shard", "vec_id")
-    return materialize(dealt.select("dim", "shard", "vec_id", "v").mapInArrow(build, schema))
+            row = [*key, np.concatenate([lists[i] for i in put]).astype("<i8").tobytes(), counts[put].astype("<i4").tobytes(), data[put].astype("<f8").tobytes(), packed["levels"], packed["widths"], packed["near"]]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
+
+    return materialize(_dealt(rows, _sizes(rows, lambda dim: shard_rows), 0, "shard").mapInArrow(build, schema))
+
+
+def augmented(data: np.ndarray) -> np.ndarray:
+    """With the component that makes all rows equally long."""
+    length = np.einsum("nd,nd->n", data, data)
+    return np.concatenate([data, np.sqrt(np.maximum(0, length.max() - length))[:, None]], axis=1).astype(np.float32)
 
 
 def search(index: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """queries: (vec_id, v). (query_id, rank, vec_id, score), nearest first; a query's own id is no answer."""
-    rows = queries.select("vec_id", "v", F.size("v").alias("dim"))
-    blocks = {r["dim"]: -(-r["n"] // BLOCK) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    of = F.lit(0)
-    for dim, n in blocks.items():
-        of = F.when(F.col("dim") == dim, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n)).cast("int")).otherwise(of)
+    rows = queries.select("vec_id", "v", F.size("v").alias("dim")).distinct()
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        for b in batches:
-            for dim, k, i, v in zip(*(column(b, c).to_pylist() for c in ("dim", "block", "vec_id", "v")), strict=True):
-                held.setdefault((dim, k), []).append((i, v))
-        for (dim, k), rows in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([k], pa.int32()), pa.array([np.array([r[0] for r in rows], "<i8").tobytes()], pa.binary()), pa.array([np.array([r[1] for r in rows], "<f8").tobytes()], pa.binary())], ["dim", "block", "q_ids", "q"])
-
-    packed = rows.withColumn("block", of).repartition(max(1, min(4096, sum(blocks.values()))), "dim", "block").mapInArrow(block, "dim int, block int, q_ids binary, q binary")
-    tasks = index.join(packed, "dim").repartition(max(1, min(4096, index.count() * max(1, sum(blocks.values())))), "shard", "block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                r = {c: column(b, c)[i].as_py() for c in ("dim", "ids", "counts", "original", "data", "levels", "widths", "near", "q_ids", "q")}
-                graph = Graph.unpack(r["data"], r["levels"], r["widths"], r["near"])
-                ids, counts = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["counts"], "<i4").astype(np.int64)
-                begin = np.cumsum(counts) - counts
-                original, q = np.frombuffer(r["original"], "<f8").reshape(len(counts), -1), np.frombuffer(r["q"], "<f8").reshape(-1, r["dim"])
-                q_ids = np.frombuffer(r["q_ids"], "<i8")
-                found = graph.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32))
-                who, node = np.nonzero(found >= 0)[0], found[found >= 0]
-                score = _exact(q[who], original[node])
-                order = np.lexsort((-score, who))
-                who, node, score = who[order], node[order], score[order]
-                n = counts[node]
-                who, score = np.repeat(who, n), np.repeat(score, n)
-                vec = ids[np.repeat(begin[node] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-                other = vec != q_ids[who]
-                who, score, vec = who[other], score[other], vec[other]
-                order = np.lexsort((vec, -score, who))
-                who, score, vec = who[order], score[order], vec[order]
-                first = np.searchsorted(who, np.arange(len(q)))
-                keep = np.arange(len(who)) - first[who] < top
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[who[keep]]), pa.array(vec[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
-
-    near = tasks.mapInArrow(run, "query_id long, vec_id long, score double")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
-    return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+        for key, parts in _runs(batches, ("dim", "block")):
+            ids, x = _stacked(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], ["dim", "block", "q_ids", "q"])
+
+    packed = materialize(_dealt(rows, _sizes(rows, lambda dim: max(1, BLOCK_BYTES // (8 * dim))), 1, "block").mapInArrow(block, "dim int, block int, q_ids binary, q binary"))
+    size = packed.agg(F.sum(F.octet_length("q") + F.octet_length("q_ids"))).first()[0] or 0
+    rounds = max(1, -(-size // MOST_BYTES))
+
+    found = []
+    for k in range(rounds):
+        blocks = [tuple(r) for r in packed.filter(F.pmod("block", F.lit(rounds)) == k).collect()]  # about MOST_BYTES
+        held = index.sparkSession.sparkContext.broadcast(blocks)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    r = {c: column(b, c)[i].as_py() for c in ("dim", "ids", "counts", "original", "levels", "widths", "near")}
+                    ids, counts = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["counts"], "<i4").astype(np.int64)
+                    original = np.frombuffer(r["original"], "<f8").reshape(len(counts), -1)
+                    graph = Graph.unpack(augmented(original), r["levels"], r["widths"], r["near"])
+                    for dim, block, q_ids, q in held.value:
+                        if dim == r["dim"]:
+                            who, vec, score = answers(graph, original, ids, counts, np.frombuffer(q_ids, "<i8"), np.frombuffer(q, "<f8").reshape(-1, dim), top)
+                            nth = np.int64(block) << 32 | who
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nth), dim, np.int32)), pa.array(nth), pa.array(np.frombuffer(q_ids, "<i8")[who]), pa.array(vec), pa.array(score)], ["dim", "nth", "query_id", "vec_id", "score"])
+
+        near = index.mapInArrow(run, "dim int, nth long, query_id long, vec_id long, score double")
+        best = near.withColumn("rank", F.row_number().over(Window.partitionBy("dim", "nth").orderBy(F.desc("score"), "vec_id")).cast("int")).filter(F.col("rank") <= top)
+        found.append(materialize(best.select("query_id", "rank", "vec_id", "score")))
+        held.unpersist()
+    discard(packed)
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+def answers(graph: Graph, original: np.ndarray, ids: np.ndarray, counts: np.ndarray, q_ids: np.ndarray, q: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest of a shard for each query: rows of q, ids and scores, in order. counts: the ids of each node."""
+    begin = np.cumsum(counts) - counts
+    found = graph.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32))
+    who, node = np.nonzero(found >= 0)[0], found[found >= 0]
+    score = _exact(q[who], original[node])
+    # equal vectors come with their ids, least first; of one vector top + 1 can be answers, one being the query's own
+    n = np.minimum(counts[node], top + 1)
+    who, score = np.repeat(who, n), np.repeat(score, n)
+    vec = ids[np.repeat(begin[node] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    other = vec != q_ids[who]
+    who, score, vec = who[other], score[other], vec[other]
+    order = np.lexsort((vec, -score, who))
+    who, score, vec = who[order], score[order], vec[order]
+    keep = np.arange(len(who)) - np.searchsorted(who, np.arange(len(q)))[who] < top
+    return who[keep], vec[keep], score[keep]
 
 
 def nearest(vectors: DataFrame, every: int = 20) -> DataFrame:
