@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; only where that is unset, as in
-    tests, a local one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; only where that is unset and all
+    runs on one machine, as in tests, a local one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = os.path.join(tempfile.gettempdir(), "phonolake-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -71,8 +71,11 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
     return over.groupBy(_HOST).agg(F.sort_array(F.collect_list(_LINE)).alias(_BAD))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text: Column, into: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_holders: int = LEAST_HOLDERS, least_chars: int = 1, most: float = 1.0) -> DataFrame:
-    """pages with the text that remains in the column `into`, and n_lines and n_dropped, the lines before and those gone."""
+def drop_boilerplate(pages: DataFrame, host: Column, text: Column, into: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_holders: int = LEAST_HOLDERS, least_chars: int = 1, most: float = 1.0, counts: tuple[str, str] | None = None) -> DataFrame:
+    """pages with the text that remains in the new column `into` and, in new columns of the names `counts`, the numbers of
+    lines before and of those gone."""
+    if taken := {into, *(counts or ())} & set(pages.columns):
+        raise ValueError(f"columns exist already: {sorted(taken)}")
     bad = materialize(boilerplate(pages, host, text, ratio, least_pages, least_holders, least_chars, most < 1).withColumnRenamed(_HOST, "_phonolake_of"))
     if (bad.agg(F.sum(F.size(_BAD) + 1)).first()[0] or 0) <= MOST_BROADCAST:
         bad = F.broadcast(bad)
@@ -85,9 +88,12 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: Column, into: str, ra
         copy = F.coalesce(F.array_contains(F.col(_BAD), _whole(text)), F.lit(False))
         touched = touched & ((F.length(shorter) >= F.lit(1 - most) * F.length(text)) | ~copy)
     kept = F.when(touched, shorter).otherwise(text)
-    count = lambda a: F.coalesce(F.size(F.filter(a, lambda x: F.btrim(x, F.lit(BLANK)) != "")), F.lit(0))
-    n, left = count(lines), F.when(touched, count(stays)).otherwise(count(lines))
-    return rows.withColumns({"_phonolake_kept": kept, "n_lines": n.cast("long"), "n_dropped": (n - left).cast("long")}).withColumn(into, F.col("_phonolake_kept")).drop(_HOST, _BAD, "_phonolake_kept")
+    out = {into: kept}
+    if counts:
+        count = lambda a: F.coalesce(F.size(F.filter(a, lambda x: F.btrim(x, F.lit(BLANK)) != "")), F.lit(0))
+        n, left = count(lines), F.when(touched, count(stays)).otherwise(count(lines))
+        out |= {counts[0]: n.cast("long"), counts[1]: (n - left).cast("long")}
+    return rows.withColumns(out).drop(_HOST, _BAD)
 
 
 #: The same over the table pages, for DuckDB.

@@ -46,7 +46,7 @@ def op4_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import drop_boilerplate, host_of, visible_text
 
     pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), visible_text(F.col("html")).alias("text"))
-    return drop_boilerplate(pages, F.col("host"), F.col("text"), "kept").select("page_id", "host", "n_lines", "n_dropped", "kept")
+    return drop_boilerplate(pages, F.col("host"), F.col("text"), "kept", counts=("n_lines", "n_dropped")).select("page_id", "host", "n_lines", "n_dropped", "kept")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def clashing_docs(odd_docs):
     """More columns, with names that operators might use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["fp", "root", "items", "contaminated", "n_words", "host", "leaf", "word", "ids", "score", "part"]
+    names = ["fp", "root", "items", "contaminated", "n_words", "host", "leaf", "word", "ids", "score", "part", "n_lines", "n_dropped", "kept_text", "key", "v", "w", "at", "ws", "h", "row", "found"]
     return odd_docs.select("*", *(F.lit(n).alias(n) for n in names))
 
 

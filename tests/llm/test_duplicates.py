@@ -138,7 +138,7 @@ PAGES = [(i, f"http://User@Big.example:80/p{i}", f"<html><script>var x='<p>';</s
 def test_site_lines(spark):
     pages = spark.createDataFrame([*PAGES, (10, "http://small.example/", "<p>Menu</p>"), (11, None, None), (12, "no url", ""), PAGES[0]], "page_id long, url string, html string")
     rows = pages.withColumn("host", linededup.host_of(F.col("url"))).withColumn("text", linededup.visible_text(F.col("html")))
-    got = {(r["page_id"], r["host"]): r for r in linededup.drop_boilerplate(rows, F.col("host"), F.col("text"), "kept").collect()}
+    got = {(r["page_id"], r["host"]): r for r in linededup.drop_boilerplate(rows, F.col("host"), F.col("text"), "kept", counts=("n_lines", "n_dropped")).collect()}
     assert got[3, "big.example"]["kept"].split() == ["Body", "3"] and got[3, "big.example"]["n_dropped"] == 2
     assert "Menu" in got[10, "small.example"]["kept"] and got[11, None]["kept"] is None and got[12, None]["kept"] == ""
 
@@ -163,6 +163,9 @@ def test_pipeline_cleans_pages_that_are_mostly_boilerplate(spark):
 def test_lines_of_odd_rows(odd_docs, clashing_docs, no_docs):
     for docs in (odd_docs, clashing_docs, no_docs):
         out = linededup.drop_boilerplate(docs, F.col("source"), F.col("text"), "kept")
+        assert out.columns == [*docs.columns, "kept"]
+        with pytest.raises(ValueError):
+            linededup.drop_boilerplate(docs, F.col("source"), F.col("text"), "text")
         assert out.count() == docs.count() and set(docs.columns) <= set(out.columns)
 
 

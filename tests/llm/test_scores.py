@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -116,14 +118,39 @@ def test_pii_of_odd_rows(odd_docs, clashing_docs, no_docs):
 # -- language models
 
 
-def test_losses_are_probabilities():
-    rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 1 << 24, 500))
-    n = rng.integers(0, 9, len(keys))
-    p = np.exp(-lmscore.losses(keys, n))
-    assert (p > 0).all() and (p <= 1).all()
-    sums = np.bincount(np.unique(keys >> 6, return_inverse=True)[1], p)
-    assert (sums <= 1 + 1e-9).all()
+def slow_difference(docs, good):
+    """Losses of both models by plain dictionaries."""
+    grams = lambda t: [tuple(x) for s in [["", "", *(t or "").lower(), ""]] for x in zip(s, s[1:], s[2:], strict=False)]
+    kinds = len({c for _, t in docs for c in (t or "").lower()}) + 1
+
+    def model(texts):
+        n = [Counter(g[k:] for t in texts for g in grams(t)) for k in range(3)]
+
+        def p(g):
+            k = 3 - len(g)
+            if len(g) == 1:
+                return (n[2][g] + 1) / (sum(n[2].values()) + kinds)
+            own = [c for h, c in n[k].items() if h[:-1] == g[:-1]]
+            return (n[k][g] + len(own) * p(g[1:])) / (sum(own) + len(own)) if own else p(g[1:])
+
+        return p
+
+    target, background = model([t for i, t in docs if i in good]), model([t for _, t in docs])
+    mean = lambda p, t: sum(-math.log(p(g)) for g in grams(t)) / len(grams(t))
+    return sorted((i, len(grams(t)), mean(target, t), mean(background, t)) for i, t in docs)
+
+
+@pytest.mark.parametrize("most", [lmscore.MOST_BYTES, 0])
+def test_difference_by_force(spark, monkeypatch, most):
+    """With the losses sent to the documents and with a join; with more characters than the plain array has room for."""
+    monkeypatch.setattr(lmscore, "MOST_BYTES", most)
+    rng = random.Random(9)
+    docs = [(i, "".join(rng.choice("abAB 日本\x00é😀") for _ in range(rng.randint(0, 25)))) for i in range(12)] + [(12, None), (12, None), (13, ""), (14, "".join(map(chr, range(0x4E00, 0x4EC0))))]
+    good = spark.createDataFrame([(1,), (2,), (12,), (77,)], "doc_id long")
+    got = sorted(tuple(r) for r in lmscore.cross_entropy_difference(spark.createDataFrame(docs, "doc_id long, text string"), good).collect())
+    want = slow_difference(docs, {1, 2, 12})
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2:] for g in got], [[*w[2:], w[2] - w[3]] for w in want], atol=1e-5)
 
 
 def test_difference_tells_quality(spark):
@@ -238,3 +265,74 @@ def test_stages_on_odd_rows(spark, odd_docs, sf_dir):
     for name, stage in p.STAGES:
         assert stage(spark, odd_docs, sf_dir).count() > 0, name
         assert stage(spark, odd_docs.limit(0), sf_dir).count() == 0, name
+
+
+def slow_nearest(rows, top=20):
+    """Of distinct rows, by plain sorting."""
+    rows, out = sorted(set(rows)), []
+    for i, v in rows:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in rows if j != i and len(w) == len(v))[:top]
+            out += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def test_repeated_rows_and_ties(spark):
+    """Repeated queries and candidates, ties, and an id with two vectors, against plain sorting."""
+    rng = random.Random(4)
+    rows = [(i, tuple(float(rng.randint(1, 3)) for _ in range(4))) for i in range(90)]
+    rows += [(20, (9.0, 9.0, 1.0, 1.0))] * 25 + [(i, (9.0, 9.0, 1.0, 1.0)) for i in (200, 301, 302)] + rows[:40] + [(40, (5.0, 1.0, 1.0, 1.0))]
+    got = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == slow_nearest(rows)
+
+
+def test_shards_are_merged(spark, monkeypatch):
+    """Several shards of the full size and queries in several rounds: recall at least 0.9 against all products."""
+    monkeypatch.setattr(hnsw, "BLOCK_BYTES", 1 << 13)
+    monkeypatch.setattr(hnsw, "MOST_BYTES", 1 << 15)
+    x = np.random.default_rng(6).normal(size=(20_000, 16)).astype(np.float32)
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    rows = hnsw.usable(docs)
+    index = hnsw.build_index(rows)
+    assert index.count() == 3
+    got = hnsw.search(index, rows.filter("vec_id % 40 = 0"), 30).toPandas()
+    right = 0
+    for q, own in got.groupby("query_id"):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        right += len(set(own["vec_id"]) & set(np.argsort(-s)[:30]))
+        assert list(own.sort_values("rank")["rank"]) == list(range(1, 31))
+    assert len(got) == 500 * 30 and right >= 0.9 * len(got)
+
+
+def test_matches_by_force():
+    """The automaton against looking for each entry at each place."""
+    rng = random.Random(7)
+    entry = lambda: "".join(rng.choice("abl") for _ in range(rng.randint(1, 3)))
+    for _ in range(300):
+        weights = {f" {entry()}" + rng.choice(["", " "]): round(rng.uniform(1, 5), 3) for _ in range(5)}
+        free = tuple(f" {entry()} {entry()} " for _ in range(2))
+        text = " " + " ".join(entry() for _ in range(rng.randint(0, 9))) + " "
+        best = {}
+        alike = {w.replace("l", "i"): x for w, x in weights.items()}
+        for w, x in {**alike, **weights}.items():
+            for at in range(len(text)):
+                if text.startswith(w, at) and x > best.get(at, (0, 0))[1]:
+                    best[at] = (at + len(w) - 1, x)
+        covered = [(at, at + len(p) - 1) for p in free for at in range(len(text)) if text.startswith(p, at)]
+        want = sorted((b, e, x) for b, (e, x) in best.items() if not any(s <= b and e <= t for s, t in covered))
+        m = toxicity.Model(weights, free)
+        assert sorted(toxicity.matches(m.automaton(), text)) == [(b, e, x) for b, e, x in want], (weights, free, text)
+
+
+def test_learned_exceptions(spark):
+    """A word of toxic documents is learned, and a phrase in which clean ones hold it."""
+    rng = random.Random(8)
+    words = ["river", "stone", "cloud", "garden", "window", "paper", "light", "green", "table", "train"]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(30))
+    rows = [(i, f"{prose()} you vilex {prose()}", 1) for i in range(100)] + [(1000 + i, prose() + (" a vilex tree " if i % 20 == 0 else " ") + prose(), 0) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert " vilex " in model.weights and " vilex tree " in model.exceptions
+    a = model.automaton()
+    assert toxicity.score(model, a, "you v1lex thing") > 0.5 > toxicity.score(model, a, "under a vilex tree by the river")
