@@ -3,9 +3,11 @@
 The fixed patterns give base spans. They are the seeds: the words before a seed are a lexical pattern, and so are the
 words before any other string that looks like an identifier. Patterns and strings form a graph, one edge for each
 pattern and distinct string. In rounds, a pattern's confidence for a kind is the sum of its strings' scores for that kind
-over all its strings (seeds score 1, new strings as much as their best trusted pattern), smoothed so that few strings
-can't reach the bar; a pattern is trusted from CONFIDENCE on, with at least SEEDS distinct seeds. Strings of a fitting
-shape after trusted patterns become spans of the pattern's kind. Documents are read once; the rounds work on the edges,
+over all its strings (seeds score 1, new strings of a fitting shape as much as their best trusted pattern), smoothed so
+that few strings can't reach the bar; a pattern is trusted from CONFIDENCE on, with at least SEEDS distinct strings of
+that score, be they seeds or found in an earlier round: a new string that stands after one trusted pattern helps the
+others that it stands after. Rounds end when no pattern is added, at the latest after ROUNDS. Strings of a fitting shape
+after trusted patterns become spans of the pattern's kind. Documents are read once; the rounds work on the edges,
 which are aggregated before they move, and nothing of them is collected.
 
 Defined results: null text counts as empty. Spans are in code points, end exclusive. Base spans of one kind don't
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import column, discard, materialize, steps
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, CONFIDENCE, SEEDS, SMOOTH = 3, 0.8, 5, 1.0
+ROUNDS, CONFIDENCE, SEEDS, SMOOTH = 8, 0.8, 5, 1.0
 
 # The base patterns, written so that no text makes them go over it more than a few times.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,9 +36,15 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Strings that look like identifiers: without spaces, with a digit, and those that spell an address out.
-LOOKS = re.compile(r"[A-Za-z0-9+(][A-Za-z0-9@._+()/:-]{3,62}[A-Za-z0-9]")
-SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]{1,63}){1,5}", re.I)
+#: Strings that look like identifiers: runs without spaces, groups of digits with a sign or a space between, and addresses
+#: that are spelt out around "[at]".
+RUN = re.compile(r"[A-Za-z0-9@._+()/:-]++")
+GROUPS = re.compile(r"[+(]?[0-9]++(?:\)?[\x20./-]?\(?[0-9]++)++")
+AT = re.compile(r" ?[\[(] ?at ?[\])] ?", re.I)
+SPELT_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]++)++", re.I)
+ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+#: Words of a pattern that are longer are named by a hash.
+LONG = 24
 DIGIT = re.compile("[0-9]")
 
 
@@ -84,30 +92,67 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def before(text: str, start: int) -> list[str]:
-    """The lexical patterns of what stands at start: the word before it, and the two words before it."""
-    words = re.sub("[0-9]", "0", text[max(0, start - 64) : start].lower()).split()
-    return ([f"1 {words[-1][-24:]}"] if words else []) + ([f"2 {words[-2][-24:]} {words[-1][-24:]}"] if len(words) > 1 else [])
+    """The lexical patterns of what stands at start: the word before it, and the two words before it. Digits are alike."""
+    words, end = [], start
+    while len(words) < 2:
+        while end and text[end - 1].isspace():
+            end -= 1
+        begin = end
+        while begin and not text[begin - 1].isspace():
+            begin -= 1
+        if begin == end:
+            break
+        w = re.sub("[0-9]", "0", text[begin:end].lower())
+        words.append(w if len(w) <= LONG else hashlib.md5(w.encode()).hexdigest())
+        end = begin
+    return [f"1 {words[0]}", *([f"2 {words[1]} {words[0]}"] if len(words) > 1 else [])] if words else []
+
+
+def spelt(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with their sign spelt out, leftmost first."""
+    after = 0
+    for m in AT.finditer(text):
+        begin = m.start()
+        while begin > after and text[begin - 1] in LOCAL:
+            begin -= 1
+        d = SPELT_DOMAIN.match(text, m.end()) if begin < m.start() else None
+        if d:
+            yield begin, d.end()
+            after = d.end()
 
 
 def fits(value: str) -> int:
     """Bits of the kinds whose shape a string has."""
     digits = sum(c.isdigit() for c in value)
     signs = set(value) - set("0123456789")
-    return ("@" in value or bool(SPELT.fullmatch(value))) << 0 | (digits >= 4 and (value.count(".") >= 2 or value.count(":") >= 2)) << 1 | (digits >= 8 and len(signs) <= 2) << 2 | (digits >= 6 and not any(c.isalpha() for c in value)) << 3
+    return ("@" in value) << 0 | (digits >= 4 and (value.count(".") >= 2 or value.count(":") >= 2)) << 1 | (digits >= 8 and len(signs) <= 2) << 2 | (digits >= 6 and not any(c.isalpha() for c in value)) << 3
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, kinds that fit) of other strings that look like identifiers."""
+    """(start, end, kinds that fit) of other strings that look like identifiers, leftmost first, the longest of those that
+    begin together."""
     found = []
     if DIGIT.search(text):
-        found += [m.span() for m in LOOKS.finditer(text) if DIGIT.search(m[0])]
-    low = text.lower() if "[" in text or "(" in text else ""
-    if "at]" in low or "at)" in low or "at ]" in low or "at )" in low:
-        found += [m.span() for m in SPELT.finditer(text)]
-    out, last = [], 0
+        for m in RUN.finditer(text):
+            b, e = m.span()
+            while b < e and text[b] not in ALNUM and text[b] not in "+(":
+                b += 1
+            while e > b and text[e - 1] not in ALNUM:
+                e -= 1
+            if e - b >= 5 and DIGIT.search(text, b, e):
+                found.append((b, e, fits(text[b:e])))
+        found += [(*m.span(), fits(m[0])) for m in GROUPS.finditer(text)]
+    if "[" in text or "(" in text:
+        found += [(b, e, 1) for b, e in spelt(text)]
+    out, last, k = [], 0, 0
     held = sorted((b, e) for b, _, e in spans)
-    for b, e in sorted(found):
-        if b >= last and (kinds := fits(text[b:e])) and not any(x < e and b < y for x, y in held):
+    ends = [0]
+    for _, e in held:
+        ends.append(max(ends[-1], e))
+    for b, e, kinds in sorted(found, key=lambda f: (f[0], -f[1])):
+        while k < len(held) and held[k][0] < e:
+            k += 1
+        if b >= last and kinds and ends[k] <= b:
             out.append((b, e, kinds))
             last = e
     return out
@@ -143,22 +188,23 @@ def searched(docs: DataFrame) -> DataFrame:
 
 
 def trusted(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """found: (kind, value, patterns, ...). (pattern, kind, confidence) of patterns above the bar after the rounds."""
-    edges = materialize(found.select("kind", F.xxhash64("value").alias("value"), F.explode("patterns").alias("pattern")).distinct())
-    total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    scores = edges.filter("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("s")).distinct()
-    last = None
+    """found: (kind, fits, value, patterns, ...). (pattern, kind, confidence) of patterns above the bar after the rounds."""
+    edges = materialize(found.select("kind", "fits", F.xxhash64("value").alias("value"), F.explode("patterns").alias("pattern")).distinct())
+    plain = edges.select("pattern", "value").distinct()
+    total = plain.groupBy("pattern").agg(F.count("*").alias("n"))
+    seeds = edges.filter("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("s")).distinct()
+    scores, last, size = seeds, None, 0
     for _ in range(rounds):
-        plain = edges.select("pattern", "value").distinct()
-        sums = plain.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("s").alias("s"), F.count_if(F.col("s") == 1.0).alias("seeds"))
-        now = materialize(sums.filter(F.col("seeds") >= SEEDS).join(total, "pattern").withColumn("confidence", F.col("s") / (F.col("n") + SMOOTH)).filter(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence"))
+        sums = plain.join(scores, "value").groupBy("pattern", "kind").agg(F.sum("s").alias("s"), F.count_if(F.col("s") >= CONFIDENCE).alias("good"))
+        now = materialize(sums.filter(F.col("good") >= SEEDS).join(total, "pattern").withColumn("confidence", F.col("s") / (F.col("n") + SMOOTH)).filter(F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence"))
+        before, size = size, now.count()
         if last is not None:
             discard(last)
         last = now
-        if now.isEmpty():
+        if size == before:
             break
-        new = edges.filter("kind IS NULL").select("value", "pattern").join(now, "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("s"))
-        scores = edges.filter("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("s")).union(new).groupBy("value", "kind").agg(F.max("s").alias("s"))
+        new = edges.filter("kind IS NULL").select("value", "pattern", "fits").join(now, "pattern").filter(F.expr("fits & shiftleft(1, kind) <> 0"))
+        scores = seeds.union(new.groupBy("value", "kind").agg(F.max("confidence").alias("s"))).groupBy("value", "kind").agg(F.max("s").alias("s"))
     return last
 
 
