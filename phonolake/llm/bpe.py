@@ -75,7 +75,7 @@ class MergeAutomaton:
         self.newline = self.trie[10][-1]
         sizes = np.array([len(b) for b in self.label], np.int64)
         self.bytes_flat, self.bytes_size, self.bytes_begin = np.frombuffer(b"".join(self.label), np.uint8), sizes, np.cumsum(sizes) - sizes
-        self.table = PieceTable(self.words, self.whole, self.newline, keep=150_000)
+        self.table = PieceTable(self.words, self.whole, self.newline, list(self.special), keep=150_000)
 
     def gadget(self, k: int, u: int, v: int, w: int) -> None:
         if not self.arc(u, v, k):  # no path holds u, v: the merge never applies

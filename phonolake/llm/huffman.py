@@ -156,7 +156,8 @@ class Library:
         self.newline = self.of.encode("\n", add_special_tokens=False).ids[0]
         self.split = regex.compile(PATTERN)
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.table = PieceTable(self.words, lambda t: np.array(self.of.encode(t, add_special_tokens=False).ids, np.uint32), self.newline)
+        specials = [t.content for t in self.of.get_added_tokens_decoder().values()]
+        self.table = PieceTable(self.words, lambda t: np.array(self.of.encode(t, add_special_tokens=False).ids, np.uint32), self.newline, specials)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pre-split as the vocabulary's pattern has it, each part by the library's model."""
@@ -227,6 +228,15 @@ def global_counts(rows: DataFrame, width: int) -> np.ndarray:
     return out
 
 
+def _dealt(coded: DataFrame, parts: int) -> DataFrame:
+    """Each part in a partition of its own: by a number that the planner's hash sends there."""
+    k = F.col("id").cast("int")
+    found = coded.sparkSession.range(32 * parts).groupBy(F.pmod(F.hash(k), F.lit(parts)).alias("p")).agg(F.min(k).alias("k")).collect()
+    of = {r["p"]: r["k"] for r in found}
+    keys = F.array(*(F.lit(of.get(p, p)) for p in range(parts)))
+    return coded.withColumn("key", F.get(keys, F.col("part"))).repartition(parts, "key").drop("key")
+
+
 def write_ids(docs: DataFrame, vocabulary: str, path: str, parts: int | None = None, end_id: int = END_ID) -> None:
     """Encodes documents (doc_id, text) and writes blocks below path/blocks and the code lengths below path/code."""
     spark = docs.sparkSession
@@ -280,7 +290,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, parts: int | None = N
     block_names = ["part", "block", "start", "n_docs", "n_tokens", "null_ids", "doc_ids", "sizes", "bytes", "payload", "offsets"]
     block_schema = "part int, block int, start long, n_docs int, n_tokens long, null_ids binary, doc_ids binary, sizes binary, bytes binary, payload binary, offsets binary"
     coded = rows.filter("part >= 0").select("part", "doc_id", "n", "ids").mapInArrow(code, "part int, doc_id long, n long, coded binary, offsets binary")
-    coded = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "coded")
+    coded = _dealt(coded, parts).sortWithinPartitions("part", "doc_id", "coded")
     coded.mapInArrow(blocks, block_schema).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
     discard(rows)

@@ -8,8 +8,10 @@ text of a special token take `whole`, which sees the text as it is.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
+from itertools import compress
 
 import numpy as np
 
@@ -18,8 +20,17 @@ ODD = re.compile("[\x01\x02\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -    
 NEWLINE = "\n"
 
 
-def plain(text: str) -> bool:
-    return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:] == " " or "<|" in text) and (text.replace(NEWLINE, "").isprintable() or not ODD.search(text))
+def marks_of(specials: list[str]) -> tuple[str, ...]:
+    """What a text must hold to hold one of the special tokens: their common beginning, or else each of them."""
+    begin = os.path.commonprefix(specials)
+    return (begin,) if begin else tuple(specials)
+
+
+def plain(text: str, marks: tuple[str, ...] = ()) -> bool:
+    for m in marks:
+        if m in text:
+            return False
+    return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[-1:] == " ") and (text.replace(NEWLINE, "").isprintable() or not ODD.search(text))
 
 
 class Missing(dict):
@@ -37,14 +48,16 @@ class Missing(dict):
 
 class PieceTable:
     """encode_words gets strings without white space but one leading space at most and returns their ids end to end and
-    the number of each. newline is the id of a line end. The first `keep` pieces stay for good, later ones for one call,
-    so memory is bounded and the pieces that came early, which are the frequent ones, stay."""
+    the number of each. newline is the id of a line end, specials are the texts of special tokens. Beyond `keep` pieces
+    those go that were not met again (most rare words never are), and the rarer half at least, so memory is bounded and
+    the frequent ones stay."""
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], np.ndarray], newline: int, keep: int = 400_000):
-        self.encode_words, self.whole, self.newline, self.keep = encode_words, whole, newline, keep
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], np.ndarray], newline: int, specials: list[str], keep: int = 400_000):
+        self.encode_words, self.whole, self.newline, self.marks, self.keep = encode_words, whole, newline, marks_of(specials), keep
         self.seen = Missing()
         self.flat = np.empty(0, np.uint32)
         self.size = np.empty(0, np.int64)
+        self.used = np.empty(0, np.int64)
 
     def _learn(self) -> None:
         new, self.seen.new = self.seen.new, []
@@ -73,6 +86,17 @@ class PieceTable:
         flat[~led] = ids
         self.flat = np.concatenate([self.flat, flat])
         self.size = np.concatenate([self.size, size])
+        self.used = np.concatenate([self.used, np.zeros(len(size), np.int64)])
+
+    def _forget(self) -> None:
+        """Counts are halved, so what was frequent once goes in the end."""
+        least = max(2, int(np.partition(self.used, -(self.keep // 2))[-(self.keep // 2)]) + 1) if self.keep > 1 else 2
+        stay = self.used >= least
+        kept = list(compress(self.seen, stay))
+        self.seen.clear()
+        self.seen.update(zip(kept, range(len(kept)), strict=True))
+        self.flat = self.flat[np.repeat(stay, self.size)]
+        self.size, self.used = self.size[stay], self.used[stay] // 2
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each text's."""
@@ -81,7 +105,7 @@ class PieceTable:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not plain(text):
+            if not plain(text, self.marks):
                 aside[i] = self.whole(text)
                 continue
             parts = text.replace(NEWLINE, " \n").split(" ")
@@ -91,6 +115,7 @@ class PieceTable:
         if self.seen.new:
             self._learn()
         numbers = np.concatenate(index) if index else np.empty(0, np.int64)
+        self.used += np.bincount(numbers, minlength=len(self.used))
         sizes = self.size[numbers]
         ends = np.cumsum(sizes)
         begin = np.cumsum(self.size) - self.size
@@ -104,9 +129,5 @@ class PieceTable:
                 last, n[i] = cut[i], len(ids)
             out = np.concatenate([*parts, out[last:]])
         if len(self.seen) > self.keep:
-            stay = self.keep
-            for p in [p for p, k in self.seen.items() if k >= stay]:
-                del self.seen[p]
-            self.size = self.size[:stay]
-            self.flat = self.flat[: int(self.size.sum())].copy()
+            self._forget()
         return out, n
