@@ -365,11 +365,37 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _prefix_pairs(sets: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """sets: (v, root). Pairs (a, b) of different roots, all that can be as alike as LEAST_SHARE. With the shingles of
+    each set in one order, the rarest first, such a pair has its first common one in the first few of both, and what
+    follows it in either is enough for the overlap that is wanted. A set that differs from all others in too much begins
+    with shingles that no other has, and meets none."""
+    part, whole = LEAST_SHARE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches):
+            own = [np.unique(np.frombuffer(b"".join(xxhash.xxh64_digest(g, SEED) for g in shingles(t, shingle)), np.int64)) for t in column(b, "text").to_pylist()]
+            ends = np.cumsum([0, *map(len, own)])
+            yield pa.RecordBatch.from_arrays([column(b, "v"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))], ["v", "hs"])
+
+    each = materialize(sets.select("v").join(texts, "v").select("v", "text").mapInArrow(run, "v long, hs array<long>")).select("v", F.explode_outer("hs").alias("h"))
+    held = each.groupBy("h").agg(F.count("*").alias("n"))
+    ranked = each.join(held, "h").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("hs")).withColumn("size", F.size("hs"))
+    few = F.col("size") - F.ceil(F.col("size") * part / whole).cast("int") + 1
+    some = ranked.select("v", "size", F.posexplode_outer(F.slice("hs", F.lit(1), few)).alias("at", "x")).filter("x.n > 1").select("v", "size", "at", "x.h")
+    some = materialize(some.join(sets, "v"))
+    other = some.toDF(*(f"{c}_b" if c != "h" else c for c in some.columns))
+    both = some.join(other, "h").filter("v < v_b AND root <> root_b")
+    rest = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
+    return both.filter((whole + part) * rest >= part * (F.col("size") + F.col("size_b"))).select(F.col("v").alias("a"), F.col("v_b").alias("b")).distinct()
+
+
 def similar_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", tables: int = 1, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """docs with the columns of _keyed. The columns `keep` and root, which names the component, of each row. Rows link if
     their sets of shingles have a similarity of LEAST_SHARE or more. Candidates are the links of the fingerprints and the
     sets that share a band; each is tested on the texts. Sets are tested against the least and the greatest of their
-    band first, then against all others of it that don't reach them yet: copies of one text cost two tests each."""
+    band first, so copies of one text cost two tests each. Sets of bands that this doesn't link into one go through a
+    prefix-filtered join with each other, which loses no link and makes few of the pairs that aren't one."""
     rows = materialize(_sketches(docs, list(dict.fromkeys([*keep, _K1, _K2])), text_col, tables, shingle))
     distinct = materialize(rows.groupBy("v").agg(F.min("n").alias("n"), F.min("fps").alias("fps"), F.min("bands").alias("bands"), F.min(F.struct(_K1, _K2)).alias("k")))
     each = distinct.select("v", "n", F.posexplode("bands").alias("t", "band"))
@@ -392,10 +418,8 @@ def similar_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     roots = materialize(components(edges).selectExpr("vertex AS v", "root"))
     rooted = members.join(roots, "v", "left").select("t", "band", "v", F.coalesce("root", "v").alias("root"))
     apart = rooted.groupBy("t", "band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("t", "band")
-    open_ = materialize(rooted.join(apart, ["t", "band"]))
-    other = open_.select("t", "band", F.col("v").alias("b"), F.col("root").alias("root_b"))
-    rest = open_.withColumnRenamed("v", "a").join(other, ["t", "band"]).filter("a < b AND root <> root_b").select("a", "b")
-    more = materialize(_alike(fitting(rest).join(first, ["a", "b"], "left_anti"), texts, shingle))
+    open_ = materialize(rooted.join(apart, ["t", "band"], "left_semi").select("v", "root").distinct())
+    more = materialize(_alike(_prefix_pairs(open_, texts, shingle).join(first, ["a", "b"], "left_anti"), texts, shingle))
     linked = materialize(components(edges.union(more)).selectExpr("vertex AS v", "root"))
     return rows.select(*keep, "v").join(linked, "v", "left").select(*keep, F.coalesce("root", "v").alias("root"))
 
