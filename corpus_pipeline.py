@@ -15,10 +15,6 @@ from phonolake.llm.queries import vocabulary
 LINE_RATIO, LINE_HOLDERS, LINE_CHARS, LINE_MOST = 0.003, 5, 8, 0.5
 
 
-#: Fingerprints for each document: copies that differ too much for one of them to show link in another.
-FINGERPRINTS = 7
-
-
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon scores below one half."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -37,7 +33,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more of their five-word shingles."""
-    return simhash.one_of_similar(docs, tables=FINGERPRINTS)
+    return simhash.one_of_similar(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
