@@ -365,11 +365,9 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _prefix_pairs(sets: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """sets: (v, root). Pairs (a, b) of different roots, all that can be as alike as LEAST_SHARE. With the shingles of
-    each set in one order, the rarest first, such a pair has its first common one in the first few of both, and what
-    follows it in either is enough for the overlap that is wanted. A set that differs from all others in too much begins
-    with shingles that no other has, and meets none."""
+def _prefixes(sets: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """sets: (v). (v, size, at, h): of each set's shingles, the rarest among these sets first, those that a set as alike
+    as LEAST_SHARE must share one of, without those that no other set has."""
     part, whole = LEAST_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,11 +381,18 @@ def _prefix_pairs(sets: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     ranked = each.join(held, "h").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("hs")).withColumn("size", F.size("hs"))
     few = F.col("size") - F.ceil(F.col("size") * part / whole).cast("int") + 1
     some = ranked.select("v", "size", F.posexplode_outer(F.slice("hs", F.lit(1), few)).alias("at", "x")).filter("x.n > 1").select("v", "size", "at", "x.h")
-    some = materialize(some.join(sets, "v"))
-    other = some.toDF(*(f"{c}_b" if c != "h" else c for c in some.columns))
-    both = some.join(other, "h").filter("v < v_b AND root <> root_b")
+    return materialize(some)
+
+
+def _meeting(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Pairs (a, b) of prefixes that meet in a shingle, if what follows it in either is enough for the overlap wanted. At
+    the first shingle that two sets share this holds for all that are alike enough. A set that differs from all others in
+    too much begins with shingles that no other has, and meets none."""
+    part, whole = LEAST_SHARE
+    both = one.join(other.toDF(*(f"{c}_b" if c != "h" else c for c in other.columns)), "h").filter("v <> v_b AND root <> root_b")
     rest = F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
-    return both.filter((whole + part) * rest >= part * (F.col("size") + F.col("size_b"))).select(F.col("v").alias("a"), F.col("v_b").alias("b")).distinct()
+    fine = both.filter((whole + part) * rest >= part * (F.col("size") + F.col("size_b")))
+    return fine.select(F.least("v", "v_b").alias("a"), F.greatest("v", "v_b").alias("b")).distinct()
 
 
 def similar_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", tables: int = 1, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
@@ -395,7 +400,9 @@ def similar_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     their sets of shingles have a similarity of LEAST_SHARE or more. Candidates are the links of the fingerprints and the
     sets that share a band; each is tested on the texts. Sets are tested against the least and the greatest of their
     band first, so copies of one text cost two tests each. Sets of bands that this doesn't link into one go through a
-    prefix-filtered join with each other, which loses no link and makes few of the pairs that aren't one."""
+    prefix-filtered join: with the set that has the fewest rarer shingles before the shared one, which of near copies is
+    the one nearest to what they are copies of, then with all that don't reach them yet. That loses no link and makes few
+    of the pairs that aren't one."""
     rows = materialize(_sketches(docs, list(dict.fromkeys([*keep, _K1, _K2])), text_col, tables, shingle))
     distinct = materialize(rows.groupBy("v").agg(F.min("n").alias("n"), F.min("fps").alias("fps"), F.min("bands").alias("bands"), F.min(F.struct(_K1, _K2)).alias("k")))
     each = distinct.select("v", "n", F.posexplode("bands").alias("t", "band"))
@@ -419,7 +426,15 @@ def similar_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     rooted = members.join(roots, "v", "left").select("t", "band", "v", F.coalesce("root", "v").alias("root"))
     apart = rooted.groupBy("t", "band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("t", "band")
     open_ = materialize(rooted.join(apart, ["t", "band"], "left_semi").select("v", "root").distinct())
-    more = materialize(_alike(_prefix_pairs(open_, texts, shingle).join(first, ["a", "b"], "left_anti"), texts, shingle))
+    prefixes = _prefixes(open_.select("v"), texts, shingle)
+    own = prefixes.join(open_, "v").select("v", "root", "size", "at", "h")
+    plainest = own.groupBy("h").agg(F.min(F.struct("at", "v", "root", "size")).alias("p")).select("p.v", "p.root", "p.size", "p.at", "h")
+    second = materialize(_meeting(own, plainest).join(first, ["a", "b"], "left_anti"))
+    edges = materialize(edges.union(_alike(second, texts, shingle)))
+    now = materialize(components(edges).selectExpr("vertex AS v", "root"))
+    own = materialize(prefixes.join(now, "v", "left").select("v", F.coalesce("root", "v").alias("root"), "size", "at", "h"))
+    third = _meeting(own, own).join(first.union(second), ["a", "b"], "left_anti")
+    more = materialize(_alike(third, texts, shingle))
     linked = materialize(components(edges.union(more)).selectExpr("vertex AS v", "root"))
     return rows.select(*keep, "v").join(linked, "v", "left").select(*keep, F.coalesce("root", "v").alias("root"))
 
