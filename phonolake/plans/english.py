@@ -449,26 +449,19 @@ class English:
         return ctx
 
     def settle(self, group: list[Token]) -> None:
+        """Spaces between parts of different kinds; signs are silent, but for a last mark; one main stress where the parts
+        are one word."""
         text = merged(group).text
         kinds = {0 if c.isalpha() else 1 if c in "0123456789" else 2 for c in text if c not in T.SUBTOKEN_JUNK}
         apart = " " in text or "/" in text or len(kinds) > 1
-        for i, t in enumerate(group):
-            if t.ps is not None:
-                t.prespace = apart if i else t.prespace
-            elif i + 1 == len(group) and len(t.text) == 1 and t.text in T.PLAIN_PUNCTUATION:
-                t.ps, t.rating = t.text, 3
-            elif all(c in T.SUBTOKEN_JUNK for c in t.text):
-                t.ps, t.rating = "", 3
-        spoken = [t for t in group if t.ps]
-        if apart or len(spoken) < 2:
-            return
-        if len(spoken) == 2 and len(spoken[0].text) == 1:
-            weak = spoken[1:]
-        elif sum(T.PRIMARY in t.ps for t in spoken) > (len(spoken) + 1) // 2:
-            weak = sorted(spoken, key=lambda t: (T.PRIMARY in t.ps, P.stress_weight(t.ps)))[: len(spoken) // 2]
-        else:
-            weak = []
-        for t in weak:
+        for t in (t for t in group[1:] if t.ps is not None):
+            t.prespace = apart
+        last = group[-1]
+        if last.ps is None and len(last.text) == 1 and last.text in T.PLAIN_PUNCTUATION:
+            last.ps, last.rating = last.text, 3
+        for t in (t for t in group if t.ps is None and set(t.text) <= set(T.SUBTOKEN_JUNK)):
+            t.ps, t.rating = "", 3
+        for t in () if apart else softened([t for t in group if t.ps]):
             t.ps = P.apply_stress(t.ps, -0.5)
 
     def __call__(self, text: str) -> tuple[str, list[Token]]:
@@ -490,6 +483,17 @@ class English:
         return "".join((self.unknown if t.ps is None else t.ps) + t.ws for t in tokens), tokens
 
 
+def softened(spoken: list[Token]) -> list[Token]:
+    """Parts of one word that lose their main stress: after a single letter the other part, else the weaker half by rank
+    where more than half have it."""
+    if len(spoken) == 2 and len(spoken[0].text) == 1:
+        return spoken[1:]
+    main = [T.PRIMARY in t.ps for t in spoken]
+    rank = sorted(range(len(spoken)), key=lambda i: (main[i], P.stress_weight(spoken[i].ps), i))
+    half = len(spoken) // 2 if 2 * sum(main) > len(spoken) + len(spoken) % 2 else 0
+    return [spoken[i] for i in rank[:half]]
+
+
 def feature(f: str) -> tuple[str, float | str] | None:
     if re.fullmatch(r"[+-]?[0-9]+|[+-]?0\.5", f):
         return "stress", float(f)

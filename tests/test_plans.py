@@ -95,6 +95,48 @@ def test_mandarin():
     assert old("你好") == "ni↓xau↓"
 
 
+def mandarin():
+    cut = chinese.segmenter({w: (5.0, "n") for w in ("老虎", "纸", "蒙古", "包", "朋友", "东西")}, 100.0)
+    return chinese.Mandarin(cut, cut.for_search, {}, {})
+
+
+@pytest.mark.parametrize(
+    "word, pos, tones, want",
+    [
+        ("看不懂", "v", "443", "453"), ("不怕", "d", "44", "24"), ("不好", "d", "43", "43"),  # 不
+        ("看一看", "v", "414", "454"), ("第一", "m", "41", "41"), ("一样", "m", "14", "24"), ("一天", "m", "11", "41"), ("一二", "m", "14", "14"), ("一，", "m", "10", "10"),  # 一
+        ("人人", "n", "22", "22"), ("妈妈", "n", "11", "15"), ("来吧", "v", "21", "25"), ("我们", "r", "32", "35"), ("桌上", "s", "14", "15"), ("桌上", "n", "14", "14"), ("进来", "v", "42", "45"), ("了", "ul", "3", "5"),
+        ("几个", "m", "34", "35"), ("个", "q", "4", "5"), ("老朋友", "n", "323", "325"), ("老虎", "n", "33", "23"),
+        ("蒙古包", "n", "331", "231"), ("纸老虎", "n", "333", "323"), ("老虎纸", "n", "333", "223"), ("好老虎", "n", "333", "323"), ("好东西", "n", "311", "315"), ("想买什么", "v", "3325", "2325"), ("老虎老虎", "v", "3333", "2323"),
+    ],
+)
+def test_sandhi(word, pos, tones, want):
+    assert "".join(f[-1] for f in mandarin().sandhi(word, pos, ["a" + t for t in tones])) == want
+
+
+def test_glued():
+    m = mandarin()
+    m.phrases, m.syllables = {"好": ["好"], "老虎": ["老", "虎"]}, {"好": ("h", "ao3"), "老": ("l", "ao3"), "虎": ("h", "u3")}
+    assert m.glued([("不", "d"), ("去", "v")]) == [("不去", "v")] and m.glued([("去", "v"), ("不", "d")]) == [("去", "v"), ("不", "d")]
+    assert m.glued([("看", "v"), ("一", "m"), ("看", "v")]) == [("看一看", "v")] and m.glued([("一", "m"), ("天", "n")]) == [("一天", "m")]
+    assert m.glued([("天", "n"), ("天", "n"), ("花", "n"), ("儿", "n")]) == [("天天", "n"), ("花儿", "n")]
+    assert m.glued([("好", "a"), ("老虎", "n"), ("好", "a")]) == [("好老虎", "a"), ("好", "a")] and m.glued([]) == []
+
+
+def test_softened():
+    parts = lambda *ps: [english.Token(text=f"w{i}", tag="NN", ws="", ps=p) for i, p in enumerate(ps)]
+    assert [t.ps for t in english.softened(parts("ˈa", "ˈb", "ˈcd"))] == ["ˈa"] and english.softened(parts("ˈa", "b", "c")) == []
+
+
+def test_kana_by_neighbours():
+    got = [japanese.kana_phonemes(t) for t in ("きゃ", "さゝ", "かゞ", "らーめん", "かった", "さんぽ", "ほんや", "ぁ", "x", "")]
+    assert got == ["kʲa", "saさ", "kaɡa", "ɾaːmeɴ", "kaʔta", "sampo", "hoɴja", "", "", ""]
+
+
+def test_compounds():
+    assert espeak.compound("in", "ɪn", "ɑ", False) == "ɪn" and espeak.compound("cat", "kat", "ɑ", False) == "kaɾ" and espeak.compound("for", "fɔː", "ɑ", True) == "fɔːɹ"
+
+
 def test_japanese():
     assert japanese.kana_phonemes("こんに") == "koɲɲi" and japanese.kata_to_hira("コンピューター") == "こんぴゅーたー"
     assert japanese.Japanese(pipelines.kana_lattice())("こんにちは") == "koɲɲiʨiha"
