@@ -20,7 +20,7 @@ PHONEMES_SQL = (
     + r""",
 ph AS (SELECT word, ps, (length(word) % 7) - 2.5 + (length(word) % 2) * 0.5 AS raw_stress FROM (
   SELECT word, CASE length(word) % 3 WHEN 0 THEN 'ˈ' || p WHEN 1 THEN 'ˌ' || p ELSE p END AS ps
-  FROM (SELECT DISTINCT word, translate(word, 'aeiouc', 'æɛɪɒʌʧ') AS p FROM tok WHERE length(word) < 30)))"""
+  FROM (SELECT DISTINCT word, translate(word, 'aeiouc', 'æɛɪɒʌʧ') AS p FROM tok)))"""
 )
 
 
@@ -37,7 +37,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phonemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, ps, raw_stress)"""
-    words = tokens(spark, sf_dir).select("word").filter(F.length("word") < 30).distinct()
+    words = tokens(spark, sf_dir).select("word").distinct()
     p = F.translate("word", "aeiouc", "æɛɪɒʌʧ")
     n = F.length("word")
     ps = F.when(n % 3 == 0, F.concat(F.lit("ˈ"), p)).when(n % 3 == 1, F.concat(F.lit("ˌ"), p)).otherwise(p)

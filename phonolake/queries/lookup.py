@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import lookup as L
@@ -10,8 +11,8 @@ from .common import TOKENS_SQL, tokens
 
 #: A lexicon over the corpus itself: frequent small words are gold, others that occur twice silver; the reading is the word
 #: between marks.
-_LEX = f"""WITH {TOKENS_SQL}, n AS (SELECT word, count(*) AS n FROM tok WHERE NOT contains(word, 'İ') GROUP BY word),
-lex AS (SELECT word, CASE WHEN n >= 20 THEN 'gold' ELSE 'silver' END AS tier, '/' || word || '/' AS ps FROM n WHERE n >= 2 AND word = lower(word)), v AS (SELECT word FROM n)"""
+_LEX = f"""WITH {TOKENS_SQL}, n AS MATERIALIZED (SELECT word, count(*) AS n FROM tok WHERE NOT contains(word, 'İ') GROUP BY word),
+lex AS MATERIALIZED (SELECT word, CASE WHEN n >= 20 THEN 'gold' ELSE 'silver' END AS tier, '/' || word || '/' AS ps FROM n WHERE n >= 2 AND word = lower(word)), v AS MATERIALIZED (SELECT word FROM n)"""
 
 
 def _words(spark, sf_dir):
@@ -117,24 +118,24 @@ def stress_key_backoff(spark, sf_dir):
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, i, b - length(s) AS begin, b AS stop FROM (SELECT doc_id, i, ws[i] AS s, list_sum(list_transform(ws[1:i], lambda x: length(x) + 1)) - 1 AS b FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents))) WHERE i <= 400),
+    r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS s, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM documents),
+t AS (SELECT doc_id, i, b - length(s) AS begin, b AS stop FROM (SELECT doc_id, i, s, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS b FROM w)),
 s AS (SELECT doc_id, 100 AS start, 100 + 10 * (1 + doc_id % 9) AS stop FROM documents)
 SELECT t.doc_id, t.i FROM t JOIN s USING (doc_id) WHERE t.begin < s.stop AND s.start < t.stop"""
 )
 def interval_overlaps(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    words = docs.select("doc_id", F.slice(F.split("text", " "), 1, 400).alias("ws"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("out"))
-    spans = F.aggregate("ws", state, lambda a, w: F.struct((a["at"] + F.length(w) + 1).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("begin"), (a["at"] + F.length(w)).alias("end"))).alias("out")), lambda a: a["out"])
-    toks = words.select("doc_id", F.posexplode(spans).alias("p", "x")).select("doc_id", (F.col("p") + 1).cast("long").alias("i"), "x.begin", "x.end")
+    words = docs.select("doc_id", F.posexplode_outer(F.split("text", " ")).alias("p", "word")).filter("word IS NOT NULL")
+    end = F.sum(F.length("word") + 1).over(Window.partitionBy("doc_id").orderBy("p")) - 1
+    toks = words.select("doc_id", (F.col("p") + 1).cast("long").alias("i"), (end - F.length("word")).alias("begin"), end.alias("end"))
     links = docs.select("doc_id", F.lit(100).alias("start"), (100 + 10 * (1 + F.col("doc_id") % 9)).alias("stop"))
     return L.overlapping(toks, links, ["doc_id"]).select("doc_id", "i")
 
 
-@query("SELECT a.turn, count(*) AS n, CAST(count_if(a.text = b.text) AS BIGINT) AS same FROM conversations a JOIN conversations b ON a.turn = b.turn AND a.conv_id = b.conv_id GROUP BY a.turn")
+@query("SELECT a.turn, count(*) AS n, CAST(count_if(a.text = lower(b.text)) AS BIGINT) AS same FROM conversations a JOIN conversations b ON a.turn = b.turn AND a.conv_id = b.conv_id GROUP BY a.turn")
 def positional_zip(spark, sf_dir):
     a = table(spark, sf_dir, "conversations")
-    b = a.select("conv_id", "turn", F.col("text").alias("expected"))
+    b = a.select("conv_id", "turn", F.lower("text").alias("expected"))
     return a.join(b, ["conv_id", "turn"]).groupBy("turn").agg(F.count("*").alias("n"), F.count_if(F.col("text") == F.col("expected")).alias("same"))
 
 
@@ -147,5 +148,5 @@ def language_codes(spark, sf_dir):
 @query()
 def longest_prefix_cuts(spark, sf_dir):
     words = F.array(*map(F.lit, ["tion", "th", "the", "ing", "an", "er", "on", "enth"]))
-    vocabulary = tokens(spark, sf_dir).select("word").distinct().filter("length(word) < 40")
+    vocabulary = tokens(spark, sf_dir).select("word").distinct()
     return vocabulary.select("word", F.array_join(L.longest_prefix_cut(F.col("word"), words, 4), "|").alias("pieces"))

@@ -126,19 +126,27 @@ def tokenized_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, round_trip boolean")
 
 
+#: Turns, the first by a hash of their ids, that the tagger learns from at most; the bound of its training, not of its use.
+LEARN = 200
+
+
 @query()
 def trained_tagger(spark, sf_dir):
-    """A tagger learned from form-tagged turns in a fixed order, and its accuracy on held-out turns."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.split("text", " "), 1, 40).alias("ws"))
-
-    def train(b: pd.DataFrame) -> pd.DataFrame:
-        rows = [(list(w), english.simple_tagger(list(w))) for w in b.sort_values(["conv_id", "turn"])["ws"]]
-        learn, held = [r for i, r in enumerate(rows) if i % 5], rows[::5]
-        model = Perceptron.train(learn[:200], {}, 2, held).quantized(100, 1)
-        right = sum(x == y for w, tags in held for x, y in zip(model(w), tags, strict=True))
-        return pd.DataFrame({"n_features": [len(model.weights)], "accuracy": [right / max(1, sum(len(w) for w, _ in held))]})
+    """A tagger learned from a bounded number of form-tagged turns, and its accuracy on all held-out turns."""
+    turns = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", F.xxhash64("conv_id", "turn").alias("h"), F.split("text", " ").alias("ws"))
+    held_out = F.pmod("h", F.lit(5)) == 0
+    tagged = lambda rows: [(list(r["ws"]), english.simple_tagger(list(r["ws"]))) for r in rows]
+    first = lambda df, n: tagged(df.orderBy("h", "conv_id", "turn").limit(n).collect())
+    model = Perceptron.train(first(turns.filter(~held_out), LEARN), {}, 2, first(turns.filter(held_out), LEARN // 4)).quantized(100, 1)
+    held = spark.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            right = [sum(x == y for x, y in zip(held.value(list(w)), english.simple_tagger(list(w)), strict=True)) for w in b["ws"]]
+            yield pd.DataFrame({"n": [len(w) for w in b["ws"]], "right": right})
 
-    return turns.groupBy(F.lit(1).alias("one")).applyInPandas(train, "n_features long, accuracy double")  # order-dependent by definition
+    sums = turns.filter(held_out).select("ws").mapInPandas(score, "n long, right long").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
+    return sums.select(F.lit(len(model.weights)).cast("long").alias("n_features"), (F.col("right") / F.greatest(F.lit(1), "n")).alias("accuracy"))
 
 
 @query()
@@ -146,7 +154,7 @@ def aligned_letters(spark, sf_dir):
     """Letters aligned to units by rounds of counting and aligning; counts are summed over all words each round."""
     from ..plans import letters
 
-    words = tokens(spark, sf_dir).select("word").filter("length(word) BETWEEN 2 AND 20").groupBy("word").count().filter("count >= 5")
+    words = tokens(spark, sf_dir).select("word").distinct()
     pairs = words.select("word", F.regexp_replace(F.regexp_replace("word", "th", "θ"), "ou", "W").alias("phonemes"))
     return letters.aligned(pairs, 2).select("word", F.array_join("emission", "|").alias("emission"))
 
@@ -200,7 +208,7 @@ def trained_letters(spark, sf_dir):
 
     own = _letters()
     read = F.pandas_udf(lambda s: s.map(own.form), "string")
-    words = tokens(spark, sf_dir).filter("lang = 'es'").select(F.lower("word").alias("word")).filter("word RLIKE '^[a-z]{3,12}$'").distinct()
+    words = tokens(spark, sf_dir).filter("lang = 'es'").select(F.lower("word").alias("word")).distinct()
     pairs = words.select("word", read("word").alias("phonemes")).filter("phonemes <> ''").persist()
     shapes = [(0, 1), (0, 0)]
     made = letters.model(*letters.train(pairs, shapes, 2), shapes)
