@@ -72,6 +72,7 @@ class MergeAutomaton:
         self.arcs: dict[int, bool] = {}
         self.split = regex.compile(PATTERN)
         self.bytes_len = [len(b) for b in self.label]
+        self.longest = max(self.bytes_len)
         self.newline = self.trie[10][-1]
         sizes = np.array([len(b) for b in self.label], np.int64)
         self.bytes_flat, self.bytes_size, self.bytes_begin = np.frombuffer(b"".join(self.label), np.uint8), sizes, np.cumsum(sizes) - sizes
@@ -102,14 +103,14 @@ class MergeAutomaton:
     def word(self, w: bytes) -> list[int]:
         """The one accepted path that spells w. A path that reaches a position is the tokenization of what lies before
         it, so a position from which the end can't be reached is never tried again."""
-        n, arcs, sizes = len(w), self.arcs, self.bytes_len
+        n, arcs, sizes, longest = len(w), self.arcs, self.bytes_len, self.longest
         out: list[int] = []
         dead: set[int] = set()
         stack: list[list[int]] = []
         at, p = 0, -1
         while at < n:
             node, fits = self.trie, []
-            for b in w[at:]:
+            for b in w[at : at + longest]:
                 node = node.get(b)
                 if node is None:
                     break

@@ -87,3 +87,9 @@ def test_files(spark, odd_docs, clashing_docs, no_docs, library, tmp_path):
     huffman.write_ids(odd_docs, vocabulary(), f"file://{tmp_path}/ids", parts=2)
     r = huffman.read_ids(spark, f"file://{tmp_path}/ids").filter("doc_id = 3").first()
     assert list(np.frombuffer(r["ids"], "<u4")) == [*library.encode("a", add_special_tokens=False).ids, huffman.END_ID]
+
+
+def test_a_word_without_end(library):
+    """A walk over labels stops at the longest one, so a word's time grows with its length."""
+    text = "abcdefghij" * 30_000
+    assert bpe.compiled(vocabulary()).word(text.encode()) == library.encode(text, add_special_tokens=False).ids
