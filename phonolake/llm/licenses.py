@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words of which every known sentence has one at least, once it is normalised.
-SIGNS = ("licen", "copyright", "warrant", "spdx", "permission", "redistribut", "rights reserved", "public domain", "creative commons", "cc by", "as is")
+SIGNS = ("licen", "copyright", "warrant", "spdx", "permission", "redistribut", "rights reserved", "advertising materials", "source distribution", "cc0", "cc zero", "wtfpl", "public domain", "creative commons", "cc by", "as is")
 
 # Known sentences, normalised, by identifier.
 SENTENCES = {
@@ -39,49 +39,104 @@ SENTENCES = {
     "see the gnu affero general public license for more details": "agpl_see",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at": "epl2",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl_grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement": "bsl_warranty",
+    "this software is provided as is without any express or implied warranty": "zlib_warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib_grant",
+    "this notice may not be removed or altered from any source distribution": "zlib_origin",
+    "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies": "postgresql_grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd_grant",
     "all rights reserved": "reserved",
 }
 
+# Licences by their public short identifiers, with the ways their names are written once normalised.
+NAMES = (
+    ("Apache-2.0", r"apache (?:software )?licen[sc]e(?: version)? ?v?2(?: 0)?(?: the license)?"),
+    ("Apache-1.1", r"apache (?:software )?licen[sc]e(?: version)? ?v?1 1"),
+    ("MIT-0", r"mit(?: no attribution| 0) licen[sc]e"),
+    ("MIT", r"(?:mit|expat|mit expat) licen[sc]e"),
+    ("BSD-4-Clause", r"(?:4 clause bsd|bsd 4 clause|original bsd) licen[sc]e"),
+    ("BSD-3-Clause", r"(?:3 clause bsd|bsd 3 clause|new bsd|modified bsd|revised bsd) licen[sc]e"),
+    ("BSD-2-Clause", r"(?:2 clause bsd|bsd 2 clause|simplified bsd|freebsd) licen[sc]e"),
+    ("0BSD", r"(?:zero clause bsd|bsd zero clause|0bsd|0 clause bsd) licen[sc]e"),
+    ("ISC", r"isc licen[sc]e"),
+    ("MPL-2.0", r"mozilla public licen[sc]e(?: version)? ?v?2(?: 0)?"),
+    ("MPL-1.1", r"mozilla public licen[sc]e(?: version)? ?v?1 1"),
+    ("AGPL-3.0", r"gnu affero general public licen[sc]e(?: version)? ?v?3(?: 0)?(?: or any later version| or later)?"),
+    ("LGPL-2.1", r"gnu lesser general public licen[sc]e(?: version)? ?v?2 1(?: or any later version| or later)?"),
+    ("LGPL-3.0", r"gnu lesser general public licen[sc]e(?: version)? ?v?3(?: 0)?(?: or any later version| or later)?"),
+    ("GPL-3.0-or-later", r"gnu general public licen[sc]e(?: version)? ?v?3(?: 0)? (?:or any later version|or later)"),
+    ("GPL-3.0", r"gnu general public licen[sc]e(?: version)? ?v?3(?: 0)?"),
+    ("GPL-2.0-or-later", r"gnu general public licen[sc]e(?: version)? ?v?2(?: 0)? (?:or any later version|or later)"),
+    ("GPL-2.0", r"gnu general public licen[sc]e(?: version)? ?v?2(?: 0)?"),
+    ("GFDL-1.3", r"gnu free documentation licen[sc]e(?: version)? ?v?1 3(?: or any later version| or later)?"),
+    ("EPL-2.0", r"eclipse public licen[sc]e(?: version)? ?v? ?2(?: 0)?"),
+    ("EPL-1.0", r"eclipse public licen[sc]e(?: version)? ?v? ?1(?: 0)?"),
+    ("EUPL-1.2", r"european union public licen[sc]e(?: version)? ?v? ?1 2"),
+    ("CDDL-1.0", r"common development and distribution licen[sc]e(?: version)? ?v?1(?: 0)?"),
+    ("Artistic-2.0", r"artistic licen[sc]e(?: version)? ?v?2(?: 0)?"),
+    ("BSL-1.0", r"boost software licen[sc]e(?: version)? ?v?1(?: 0)?"),
+    ("Zlib", r"zlib licen[sc]e"),
+    ("PostgreSQL", r"postgresql licen[sc]e"),
+    ("PSF-2.0", r"(?:python software foundation|psf) licen[sc]e(?: agreement)?(?: version)? ?v?2?(?: 0)?"),
+    ("OFL-1.1", r"sil open font licen[sc]e(?: version)? ?v?1 1"),
+    ("NCSA", r"(?:university of illinois )?ncsa open source licen[sc]e"),
+    ("WTFPL", r"(?:do what the fuck you want to public licen[sc]e|wtfpl)(?: version 2)?"),
+    ("Unlicense", r"unlicense"),
+    ("ODbL-1.0", r"open (?:data commons open )?database licen[sc]e(?: odbl)?(?: version)? ?v?(?:1 0)?"),
+    ("CC0-1.0", r"(?:cc0|creative commons zero|cc zero)(?: v?1 0)?(?: universal)?(?: licen[sc]e| public domain dedication)?"),
+    *(
+        (f"CC-{short.replace(' ', '-').upper()}-{v}", rf"(?:a |an )?(?:cc {short}|creative commons {long}) {v.replace('.', ' ')}(?: international| unported| generic)?(?: licen[sc]e)?")
+        for v in ("4.0", "3.0", "2.0")
+        for short, long in (
+            ("by nc sa", "attribution non ?commercial share ?alike"),
+            ("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s"),
+            ("by nc", "attribution non ?commercial"),
+            ("by sa", "attribution share ?alike"),
+            ("by nd", "attribution no ?deriv(?:ative)?s"),
+            ("by", "attribution"),
+        )
+    ),
+)
+
+
+def _id(kind: str, name: str) -> str:
+    return f"{kind}_{name.lower().replace('-', '_').replace('.', '_')}"
+
+
 # Forms of sentences with varying parts, by identifier; the first that fits counts.
-_UNDER = r"^(?:.* )?(?:licensed|released|distributed|available|provided|published|covered)(?: to you)? under(?: the)?(?: terms of)?(?: the)?(?: conditions of)?(?: the)? "
+_UNDER = r"^(?:.* )?(?:licensed|released|distributed|available|provided|published|covered|dual licensed)(?: to you)? under(?: the)?(?: terms of)?(?: the)?(?: conditions of)?(?: the)? "
+_GRANT = r"^(?:this program is free software )?you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation(?: either)? version [23].*$"
 FORMS = (
-    ("apache2", _UNDER + r"apache (?:software )?licen[sc]e(?: version)? ?v?2(?: 0)?(?: the license)?$"),
-    ("mit", _UNDER + r"mit licen[sc]e$"),
-    ("bsd3", _UNDER + r"(?:3 clause bsd|bsd 3 clause|new bsd|modified bsd) licen[sc]e$"),
-    ("bsd2", _UNDER + r"(?:2 clause bsd|bsd 2 clause|simplified bsd) licen[sc]e$"),
-    ("isc", _UNDER + r"isc licen[sc]e$"),
-    ("mpl2", _UNDER + r"mozilla public licen[sc]e(?: version)? ?v?2(?: 0)?$"),
-    ("agpl3", _UNDER + r"gnu affero general public licen[sc]e(?: version)? ?v?3(?: 0)?(?: or any later version| or later)?$"),
-    ("lgpl3", _UNDER + r"gnu lesser general public licen[sc]e(?: version)? ?v?3(?: 0)?(?: or any later version| or later)?$"),
-    ("lgpl21", _UNDER + r"gnu lesser general public licen[sc]e(?: version)? ?v?2 1(?: or any later version| or later)?$"),
-    ("gpl3plus", _UNDER + r"gnu general public licen[sc]e(?: version)? ?v?3(?: 0)? (?:or any later version|or later)$"),
-    ("gpl3", _UNDER + r"gnu general public licen[sc]e(?: version)? ?v?3(?: 0)?$"),
-    ("gpl2plus", _UNDER + r"gnu general public licen[sc]e(?: version)? ?v?2(?: 0)? (?:or any later version|or later)$"),
-    ("gpl2", _UNDER + r"gnu general public licen[sc]e(?: version)? ?v?2(?: 0)?$"),
-    ("gpl_redistribute", r"^(?:this program is free software )?you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation(?: either)? version [23].*$"),
-    ("cc_by_nc_sa4", _UNDER + r"(?:a )?(?:cc by nc sa|creative commons attribution noncommercial sharealike) 4 0(?: international)?(?: licen[sc]e)?$"),
-    ("cc_by_nc_nd4", _UNDER + r"(?:a )?(?:cc by nc nd|creative commons attribution noncommercial noderivatives) 4 0(?: international)?(?: licen[sc]e)?$"),
-    ("cc_by_nc4", _UNDER + r"(?:a )?(?:cc by nc|creative commons attribution noncommercial) 4 0(?: international)?(?: licen[sc]e)?$"),
-    ("cc_by_sa4", _UNDER + r"(?:a )?(?:cc by sa|creative commons attribution sharealike) 4 0(?: international)?(?: licen[sc]e)?$"),
-    ("cc_by4", _UNDER + r"(?:a )?(?:cc by|creative commons attribution) 4 0(?: international)?(?: licen[sc]e)?$"),
-    ("spdx_mit", r"^(?:.* )?spdx license identifier mit$"),
-    ("spdx_apache2", r"^(?:.* )?spdx license identifier apache 2 0$"),
-    ("spdx_gpl3", r"^(?:.* )?spdx license identifier gpl 3 0(?: only| or later)?$"),
-    ("spdx_bsd3", r"^(?:.* )?spdx license identifier bsd 3 clause$"),
+    *((_id("under", name), _UNDER + form + "$") for name, form in NAMES),
+    *((_id("spdx", name), rf"^(?:.* )?spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')}(?: only)?$") for name, _ in NAMES),
+    *((_id("spdx", name), rf"^(?:.* )?spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')} or later$") for name in ("AGPL-3.0", "LGPL-2.1", "LGPL-3.0")),
+    ("lgpl_redistribute", _GRANT.format("lesser")),
+    ("agpl_redistribute", _GRANT.format("affero")),
+    ("gpl_redistribute", _GRANT.replace("{} ", "")),
     ("bsd_names", r"^neither the name of .* nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission$"),
+    ("bsd_advertising", r"^all advertising materials mentioning features or use of this software must display the following acknowledgement(?: .*)?$"),
     ("copyright", r"^(?:.* )?copyright (?:c )?[0-9]{4}(?: [0-9]{4})*(?: .*)?$"),
 )
 
 #: Rules in their order: licence, and the identifiers that must follow one another, others allowed between.
 RULES = (
     ("MIT", ("mit_grant", "mit_notice", "mit_warranty")),
+    ("BSL-1.0", ("bsl_grant", "bsl_warranty")),
+    ("Zlib", ("zlib_warranty", "zlib_grant", "zlib_origin")),
+    ("PostgreSQL", ("postgresql_grant",)),
     ("ISC", ("isc_grant",)),
+    ("0BSD", ("0bsd_grant",)),
+    ("BSD-4-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_advertising", "bsd_names", "bsd_warranty")),
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names", "bsd_warranty")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_warranty")),
-    ("Apache-2.0", ("apache2", "apache_use", "apache_copy", "apache_warranty", "apache_see")),
+    ("Apache-2.0", (_id("under", "Apache-2.0"), "apache_use", "apache_copy", "apache_warranty", "apache_see")),
+    ("AGPL", ("agpl_redistribute", "gpl_warranty", "agpl_see")),
+    ("LGPL", ("lgpl_redistribute", "gpl_warranty", "lgpl_see")),
     ("GPL", ("gpl_redistribute", "gpl_warranty", "gpl_see")),
-    *((name, (key,)) for name, key in (("Apache-2.0", "apache2"), ("MIT", "mit"), ("BSD-3-Clause", "bsd3"), ("BSD-2-Clause", "bsd2"), ("ISC", "isc"), ("MPL-2.0", "mpl2"), ("AGPL-3.0", "agpl3"), ("LGPL-3.0", "lgpl3"), ("LGPL-2.1", "lgpl21"), ("GPL-3.0-or-later", "gpl3plus"), ("GPL-3.0", "gpl3"), ("GPL-2.0-or-later", "gpl2plus"), ("GPL-2.0", "gpl2"))),
-    *((name, (key,)) for name, key in (("CC-BY-NC-SA-4.0", "cc_by_nc_sa4"), ("CC-BY-NC-ND-4.0", "cc_by_nc_nd4"), ("CC-BY-NC-4.0", "cc_by_nc4"), ("CC-BY-SA-4.0", "cc_by_sa4"), ("CC-BY-4.0", "cc_by4"), ("MIT", "spdx_mit"), ("Apache-2.0", "spdx_apache2"), ("GPL-3.0", "spdx_gpl3"), ("BSD-3-Clause", "spdx_bsd3"), ("Unlicense", "unlicense"), ("MIT-like", "mit_grant"), ("BSD-like", "bsd_grant"), ("GPL-like", "gpl_see"), ("All-Rights-Reserved", "reserved"))),
+    *((name, (_id(kind, name),)) for kind in ("under", "spdx") for name, _ in NAMES),
+    *((name, (key,)) for name, key in (("Unlicense", "unlicense"), ("MPL-2.0", "mpl2"), ("EPL-2.0", "epl2"), ("MIT-like", "mit_grant"), ("BSD-like", "bsd_grant"), ("AGPL-like", "agpl_see"), ("LGPL-like", "lgpl_see"), ("GPL-like", "gpl_see"), ("All-Rights-Reserved", "reserved"))),
 )
 
 #: Ends of sentences within a line.
@@ -111,14 +166,22 @@ def _has_sign(normal: Column) -> Column:
     return out
 
 
+def _place(a: Column, piece: Column) -> Column:
+    """Counts the lines up to a piece of text, which ends with the white space after it, and notes the line in which its
+    sentence ends where that goes over lines and has a sign."""
+    ends = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    s = F.regexp_replace(piece, r"\s+$", "")
+    own = F.struct((a["line"] + ends(s)).cast("int").alias("line"), F.lit(-1).alias("nth"), s.alias("s"))
+    return F.struct((a["line"] + ends(piece)).cast("int").alias("line"), F.when(F.contains(s, F.lit("\n")) & _has_sign(_normal(s)), F.array_append(a["over"], own)).otherwise(a["over"]).alias("over"))
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order of their place, without those that repeat their predecessor."""
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
     # place: of a sentence in a line, the line; of one over lines, the line in which it ends
     single = F.flatten(F.transform(lines, lambda x, i: F.transform(F.filter(F.split(x, _CUT), lambda s: _has_sign(_normal(s))), lambda s, k: F.struct(i.alias("line"), k.alias("nth"), s.alias("s")))))
-    over = F.filter(F.split(text, r"(?<=[.!?;])\s+|(?<=:)\s*\n|\n\s*\n"), lambda s: F.contains(s, F.lit("\n")) & _has_sign(_normal(s)))
-    begin = lambda s: F.size(F.split(F.substring(text, 1, F.instr(text, s)), "\n")) - 1
-    multi = F.transform(over, lambda s: F.struct((begin(s) + F.size(F.split(s, "\n")) - 1).alias("line"), F.lit(-1).alias("nth"), s.alias("s")))
+    pieces = F.split(F.regexp_replace(text, r"(?<=[.!?;])\s+|(?<=:)\s*\n|\n\s*\n", "$0\u0001"), "\u0001")
+    multi = F.aggregate(pieces, F.struct(F.lit(0).alias("line"), F.array().cast("array<struct<line:int,nth:int,s:string>>").alias("over")), _place, lambda a: a["over"])
     found = F.filter(F.transform(F.array_sort(F.concat(single, multi)), lambda x: _identifier(_normal(x["s"]))), lambda i: i.isNotNull())
     once = F.filter(F.transform(found, lambda x, i: F.when((i == 0) | (x != F.get(found, i - 1)), x)), lambda x: x.isNotNull())
     return F.when(text.isNotNull() & _has_sign(_normal(text)), once).otherwise(F.array().cast("array<string>"))

@@ -283,6 +283,77 @@ def test_signs_hold_for_short_and_wrapped_sentences(spark):
     assert {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()} == {i: n for i, (_, n) in enumerate(SHORTEST)}
 
 
+NAMED = [
+    ("Licensed under the Eclipse Public License v2.0.", "EPL-2.0"),
+    ("Released under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+    ("SPDX-License-Identifier: BSD-4-Clause", "BSD-4-Clause"),
+    ("Published under CC0 1.0 Universal.", "CC0-1.0"),
+    ("This page is available under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "CC-BY-SA-3.0"),
+    ("Distributed under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
+    ("Covered under the WTFPL.", "WTFPL"),
+    ("Released under the Unlicense.", "Unlicense"),
+    ("Licensed under the MIT No Attribution License.", "MIT-0"),
+]
+
+
+def test_named_licenses(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NAMED)], "doc_id long, text string")
+    assert {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()} == {i: n for i, (_, n) in enumerate(NAMED)}
+    assert len({n for n, _ in licenses.NAMES}) == len(licenses.NAMES) >= 40
+
+
+def plain_scan(text):
+    """Sentences by plain loops: identifiers in order of place, then rules that look for each next identifier."""
+    normal = lambda s: re.sub("[^a-z0-9]+", " ", s.lower()).strip(" ")
+
+    def identifier(s):
+        known = [i for k, i in licenses.SENTENCES.items() if (" " + s).endswith(" " + k)]
+        return (known + [i for i, f in licenses.FORMS if re.search(f, s)] + [None])[0]
+
+    places = []
+    for i, line in enumerate(text.split("\n")):
+        places += [(i, k, s) for k, s in enumerate(re.split(r"(?<=[.!?;])\s+", line))]
+    at = 0
+    for m in [*re.finditer(r"(?<=[.!?;])\s+|(?<=:)\s*\n|\n\s*\n", text), None]:
+        s = text[at : m.start() if m else len(text)].rstrip()
+        if "\n" in s:
+            places.append((text.count("\n", 0, at) + s.count("\n"), -1, s))
+        at = m.end() if m else at
+    ids = [i for i in (identifier(normal(s)) for *_, s in sorted(places)) if i]
+    ids = [x for k, x in enumerate(ids) if k == 0 or ids[k - 1] != x]
+    names = []
+    rest = ids
+    for name, rule in licenses.RULES:
+        left, begin = [], 0
+        while True:
+            want, hits = 0, []
+            for k in range(begin, len(rest)):
+                if rest[k] == rule[want]:
+                    hits.append(k)
+                    want += 1
+                    if want == len(rule):
+                        break
+            if want < len(rule):
+                break
+            left += rest[begin : hits[0]]
+            begin = hits[-1] + 1
+            names.append(name)
+        rest = left + rest[begin:]
+    return ",".join(dict.fromkeys(names)), ",".join(ids)
+
+
+def test_scan_equals_plain_scan(spark):
+    rng = random.Random(11)
+    known = [k[0].upper() + k[1:] for k in licenses.SENTENCES] + [t.rstrip(".") for t, _ in [*SHORTEST, *NAMED]] + ["Copyright (c) 2019 A", "Plain words here", "A licence to fish", "Advertising materials are cheap"]
+    wrap = lambda s: "".join(rng.choice([" "] * 9 + ["\n"]) if c == " " else c for c in s)
+    texts = ["".join(wrap(rng.choice(known)) + rng.choice([". ", ".\n", "\n\n", ":\n", "; ", " ", "\n"]) for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["sentences"]) for r in licenses.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == plain_scan(t), t
+
+
 def test_scan_of_odd_rows(odd_docs, clashing_docs, no_docs):
     for docs in (odd_docs, clashing_docs, no_docs):
         assert licenses.scan(docs).count() == docs.count()
