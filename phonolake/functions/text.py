@@ -243,6 +243,24 @@ def apply_tail(form: Column, delta: Column) -> Column:
     return F.when(delta == "", form).otherwise(F.concat(F.left(form, F.greatest(F.lit(0), F.length(form) - n)), F.regexp_extract(delta, r"^[^|]*\|(?s)(.*)$", 1)))
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """How many characters two different strings have in common from their beginning on."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
+    return (F.array_position(same, F.lit(False)) - 1).cast("int")
+
+
+def head_delta(base: Column, variant: Column) -> Column:
+    """What apply_head needs to make variant of base; the longest common ending stays."""
+    keep = _shared(F.reverse(base), F.reverse(variant))
+    return F.when(base == variant, F.lit("")).otherwise(F.concat((F.length(base) - keep).cast("string"), F.lit("|"), F.left(variant, F.length(variant) - keep)))
+
+
+def tail_delta(base: Column, variant: Column) -> Column:
+    """What apply_tail needs to make variant of base; the longest common beginning stays."""
+    keep = _shared(base, variant)
+    return F.when(base == variant, F.lit("")).otherwise(F.concat((F.length(base) - keep).cast("string"), F.lit("|"), F.substr(variant, keep + 1)))
+
+
 def last_phoneme(form: Column) -> Column:
     """The last character that is no mark, tie, joiner, space or combining sign; null if there is none."""
     return F.nullif(F.regexp_extract(form, r"([^ˈˌ\-^ \x{0300}-\x{036F}])[ˈˌ\-^ \x{0300}-\x{036F}]*$", 1), F.lit(""))
@@ -309,6 +327,20 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?…।])\s+")
 
 
+# Abbreviations whose full stop doesn't end a sentence.
+ABBREVIATIONS = "mr mrs ms dr st vs etc no prof rev col gen capt lt hon jr sr vol ch fig op ca esq messrs mme mlle"
+
+
+def prose_sentences(text: Column, abbreviations: str = ABBREVIATIONS) -> Column:
+    """Cut after closing marks that white space and a capital, digit or opening mark follow, but not after an abbreviation
+    or a single capital. Blank pieces are left out; null gives null."""
+    kept = "|".join(rf"\Q{a}\E" for a in abbreviations.split())
+    spared = rf"""(?<!(?<!\S)["'“‘(\[]{{0,4}}(?:(?i:{kept})|\p{{Lu}}))"""
+    end = rf"""(?<![.!?…]){spared}([.!?…]+['"”’)\]]*)\s+(?=[\p{{Lu}}\p{{Nd}}“"'‘(\[])"""
+    pieces = F.split(F.regexp_replace(text, end, "$1\u0001"), "\u0001")
+    return F.filter(F.transform(pieces, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
 def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))
 

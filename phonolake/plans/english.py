@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import phonemes as P
 from ..functions import text as T
-from ..operators.kernels import AffixTokenizer
+from ..operators.kernels import AffixTokenizer, Perceptron
 from . import widened
 
 #: Lexicon rows that a plan sends to its workers at most; about 100 bytes each.
 MOST_LEXICON = 1_000_000
+#: Weights of a trained tagger that a plan sends to its workers at most; about 100 bytes each.
+MOST_WEIGHTS = 2_000_000
 
 # Tags, symbols and currencies with readings of their own.
 PUNCT_TAGS = {".", ",", "-LRB-", "-RRB-", "``", '""', "''", ":", "$", "#", "NFP"}
@@ -514,13 +516,27 @@ def lexicon_tables(lexicon: DataFrame) -> tuple[dict, dict]:
     return gold, silver
 
 
-def phonemize(df: DataFrame, lexicon: DataFrame, text: str = "text", **options) -> DataFrame:
-    """Adds phonemes, n_tokens, n_unknown and min_rating. Null text gives nulls. No shuffle."""
+def trained_tagger(weights: DataFrame, known: dict[str, str]) -> Perceptron:
+    """weights: (feature, tag, w), as resources.weights reads them, of a size that is checked; known: tags of words that
+    aren't scored."""
+    rows = weights.select("feature", "tag", "w").limit(MOST_WEIGHTS + 1).collect()
+    if len(rows) > MOST_WEIGHTS:
+        raise ValueError(f"the tagger has over {MOST_WEIGHTS} weights")
+    made: dict[str, dict[str, float]] = {}
+    for r in rows:
+        made.setdefault(r["feature"], {})[r["tag"]] = r["w"]
+    return Perceptron({r["tag"] for r in rows}, known, made)
+
+
+def phonemize(df: DataFrame, lexicon: DataFrame, text: str = "text", weights: DataFrame | None = None, known: dict[str, str] | None = None, **options) -> DataFrame:
+    """Adds phonemes, n_tokens, n_unknown and min_rating. Null text gives nulls. No shuffle. Tokens are tagged by the model
+    `weights` with the tag dictionary `known`, where it is given, else by the option `tagger`."""
     tables = df.sparkSession.sparkContext.broadcast(lexicon_tables(lexicon))
+    model = None if weights is None else df.sparkSession.sparkContext.broadcast(trained_tagger(weights, known or {}))
     schema = widened(df, phonemes="string", n_tokens="bigint", n_unknown="bigint", min_rating="int")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = English(*tables.value, **options)
+        read = English(*tables.value, **(options if model is None else options | {"tagger": model.value}))
         for b in batches:
             rows = []
             for t in b[text]:

@@ -97,6 +97,19 @@ def delta_edits(spark, sf_dir):
     return words.select("word", T.apply_head(F.col("word"), delta).alias("headed"), T.apply_tail(F.col("word"), delta).alias("tailed"))
 
 
+@query(
+    rf"""WITH {TOKENS_SQL}, d AS (SELECT DISTINCT word, left(word, length(word) // 2) || 'x' || right(word, length(word) % 3) AS v FROM tok),
+k AS (SELECT *, list_filter(range(0, least(length(word), length(v)) + 1), lambda k: left(word, k) = left(v, k))[-1] AS front, list_filter(range(0, least(length(word), length(v)) + 1), lambda k: right(word, k) = right(v, k))[-1] AS back FROM d)
+SELECT word, CASE WHEN word = v THEN '' ELSE (length(word) - back) || '|' || left(v, length(v) - back) END AS head, CASE WHEN word = v THEN '' ELSE (length(word) - front) || '|' || substr(v, front + 1) END AS tail, v AS headed, v AS tailed FROM k"""
+)
+def derived_deltas(spark, sf_dir):
+    """Edits derived from pairs, and what they make of the first of a pair: the second."""
+    size, w, v = F.length("word"), F.col("word"), F.col("v")
+    words = tokens(spark, sf_dir).select("word").distinct().withColumn("v", F.concat(F.left(w, F.floor(size / 2).cast("int")), F.lit("x"), F.right(w, size % 3)))
+    made = words.select("word", T.head_delta(w, v).alias("head"), T.tail_delta(w, v).alias("tail"))
+    return made.select("*", T.apply_head(w, F.col("head")).alias("headed"), T.apply_tail(w, F.col("tail")).alias("tailed"))
+
+
 @query(
     rf"""WITH {PHONEMES_SQL} SELECT word, nullif(regexp_extract(ps, '([^ˈˌ\-^ \x{{0300}}-\x{{036F}}])[ˈˌ\-^ \x{{0300}}-\x{{036F}}]*$', 1), '') AS last_phoneme,
   CAST(len(regexp_extract_all(ps, '[ˈˌ]*[^ˈˌ][\x{{0300}}-\x{{036F}}{T.MODIFIERS}]*(?:\^(?:.[\x{{0300}}-\x{{036F}}{T.MODIFIERS}]*)?)?')) AS BIGINT) AS n_units FROM ph"""

@@ -78,6 +78,12 @@ def sentence_split_filter(spark, sf_dir):
     return docs.select("doc_id", F.size(F.filter("s", lambda x: F.length(x).between(20, 180))).cast("long").alias("n_sentences"), F.size(by_words).cast("long").alias("n_by_words"))
 
 
+@query()
+def prose_sentence_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.prose_sentences(F.col("text")).alias("s"))
+    return docs.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.size(F.filter("s", lambda x: F.size(F.split(x, " ")).between(2, 60))).cast("long").alias("n_by_words"))
+
+
 @query(r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(html, '<[^>]*>|&[a-zA-Z]+;', ' ', 'g'), '[\p{L}\p{M}\p{N}_]+')) AS word FROM pages) GROUP BY word")
 def page_word_counts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.explode_outer(T.word_tokens(T.strip_markup(F.col("html")))).alias("word")).filter("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n"))

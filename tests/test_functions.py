@@ -92,3 +92,39 @@ def test_words(spark):
     assert [got[w]["s"] for w in words[:4]] == ["UF", "D", "UFDH", "-"]
     assert got["iPhone7"]["n"] == "iphone0" and got["iPhone7"]["t"] == ["i", "Phone", "7"]
     assert [got[w]["v"] for w in words[4:]] == ["Sonata", "sonata", None, None]
+
+
+def test_derived_deltas_make_the_variant(spark):
+    pairs = [("kat", "kat"), ("kat", "kad"), ("kat", "bat"), ("", "a"), ("a", ""), ("aa", "aaa"), ("aaa", "aa"), ("a|b", "c|b"), ("日本", "日x本"), ("ab", "ba"), ("x\ny", "x\nz"), (None, "a"), ("😀a", "😀b")]
+    w, v = F.col("w"), F.col("v")
+    rows = spark.createDataFrame(pairs, "w string, v string").select("w", "v", T.head_delta(w, v).alias("h"), T.tail_delta(w, v).alias("t"))
+    for r in rows.select("*", T.apply_head(w, F.col("h")).alias("headed"), T.apply_tail(w, F.col("t")).alias("tailed")).collect():
+        assert r["headed"] == r["tailed"] == (None if r["w"] is None else r["v"]), r
+    assert [(r["h"], r["t"]) for r in rows.collect()][:3] == [("", ""), ("3|kad", "1|d"), ("1|b", "3|bat")]
+
+
+def test_prose_sentences_equal_a_walk_over_tokens(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    tokens = ["Mr.", "(Dr.", "St.", "etc.", "J.", "“K.", "end.", "end.”", "Why?!", "no", "No.", "the", "The", "3", "“Yes", "(so", "it…", "e.g.", "NO.", "x!)", "Ms..", "ß", "É."]
+    rows = [[rng.choice(tokens) for _ in range(rng.randint(1, 14))] for _ in range(400)]
+
+    def plain(row):
+        out, now = [], []
+        for t, following in zip(row, [*row[1:], ""], strict=True):
+            now.append(t)
+            m = re.fullmatch(r"""(.*?)[.!?…]+['"”’)\]]*""", t)
+            stem = m and m[1].lstrip("“\"'‘([")
+            opens = following[:1].isupper() or following[:1].isdigit() or (following and following[0] in "“\"'‘([")
+            if m and opens and stem.lower() not in T.ABBREVIATIONS.split() and not (len(stem) == 1 and stem.isupper()):
+                out.append(" ".join(now))
+                now = []
+        return out + [" ".join(now)] * bool(now)
+
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)] + [(-1, None), (-2, ""), (-3, " \n")], "i int, t string")
+    got = {r["i"]: r["s"] for r in docs.select("i", T.prose_sentences(F.col("t")).alias("s")).collect()}
+    assert (got[-1], got[-2], got[-3]) == (None, [], [])
+    for i, r in enumerate(rows):
+        assert got[i] == plain(r)

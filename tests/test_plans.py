@@ -36,6 +36,17 @@ def test_english(reader, text, want):
     assert reader(text)[0] == want.replace("ATi", "Ati")
 
 
+def test_english_plan_with_a_trained_tagger(spark):
+    lexicon = spark.createDataFrame([("gold", "read", {"DEFAULT": "ɹˈid", "VBD": "ɹˈɛd"}), ("gold", "we", {"DEFAULT": "wi"})], "tier string, word string, ps map<string,string>")
+    weights = spark.createDataFrame([("w=read", "VBD", 5), ("w=read", "VB", 2), ("t1=TO", "VB", 9), ("b", "NN", 1)], "feature string, tag string, w int")
+    docs = spark.createDataFrame([(1, "we read"), (2, None)], "doc_id long, text string")
+    plain, tagged = english.phonemize(docs, lexicon), english.phonemize(docs, lexicon, weights=weights, known={"we": "PRP"})
+    of = lambda df: {r["doc_id"]: r["phonemes"] for r in df.collect()}
+    assert of(plain) == {1: "wi ɹˈid", 2: None} and of(tagged) == {1: "wi ɹˈɛd", 2: None}
+    tagger = english.trained_tagger(weights, {"we": "PRP"})
+    assert tagger(["we", "read"]) == ["PRP", "VBD"] and tagger(["rock"]) == ["NN"]
+
+
 def test_english_plan(spark):
     rows = english.phonemize(spark.createDataFrame([(1, "the apple"), (2, None), (3, "")], "doc_id long, text string"), seed.lexicon(spark)).orderBy("doc_id").collect()
     assert [r["phonemes"] for r in rows] == ["ði ˈæpᵊl", None, ""] and rows[0]["n_unknown"] == 0 and rows[0]["min_rating"] == 4
