@@ -1,7 +1,8 @@
 """Operator 2: approximate nearest neighbours by a hierarchical navigable small-world graph for each shard.
 
-Vectors go to shards of about SHARD rows by a hash of their id, so equal vectors spread evenly. A task builds its
-shard's graph and stores it as flat arrays (vectors, ids, one neighbour array for each level) in the shared folder. There
+Vectors go to shards by a hash of their id, so equal vectors spread evenly. Every query meets every shard, so their number
+mustn't grow with the table: up to SHARDS shards have about SHARD rows each, from there on shards grow instead, until
+their vectors have SHARD_BYTES bytes, as a task must hold its graph. A task builds its shard's graph and stores it as flat arrays (vectors, ids, one neighbour array for each level) in the shared folder. There
 shards stay: the search sends them the queries, in blocks, some MOST_BYTES of them at a time, and merges the nearest that
 each shard finds for each query. Inner product is no distance, so each vector gets
 one more component that makes all of a shard equally long; then the largest inner product is the least distance.
@@ -29,13 +30,14 @@ from pyspark.sql import functions as F
 from .common import column, discard, materialize
 
 TOP = 20
-SHARD = 8192
+#: Rows of a shard at least, shards that aren't exceeded before theirs are full, and bytes of the vectors of a full one.
+SHARD, SHARDS, SHARD_BYTES = 8192, 8, 16 << 20
 #: Bytes of a block of queries, which one search step takes, and of all queries that are sent to the shards at once.
 BLOCK_BYTES, MOST_BYTES = 1 << 20, 16 << 20
 LINKS, EF_BUILD, EF_SEARCH = 16, 64, 192
 #: Candidates that one step of a search opens for each query at once.
-OPEN = 4
-LANES = 256
+OPEN = 16
+LANES = 128
 
 
 class Graph:
@@ -44,6 +46,7 @@ class Graph:
 
     def __init__(self, data: np.ndarray, near: list[np.ndarray]):
         self.data, self.near = data, near
+        self.square = np.einsum("nd,nd->n", data, data)
 
     @classmethod
     def build(cls, data: np.ndarray, links: int = LINKS, ef: int = EF_BUILD, seed: int = 42) -> tuple[Graph, np.ndarray]:
@@ -159,17 +162,17 @@ class Graph:
         for begin in range(0, len(queries), LANES):
             q = queries[begin : begin + LANES]
             lanes = np.arange(len(q))
-            seen = np.zeros((len(q), n), bool)
-            pool = np.full((len(q), ef), -1, np.int64)
+            seen, last = np.zeros(len(q) * n, bool), np.empty(len(q) * n, np.int32)
+            pool = np.full((len(q), ef), -1, np.int32)
             cost = np.full((len(q), ef), np.inf, np.float32)
             opened = np.ones((len(q), ef), bool)
             first = np.minimum(enter[begin : begin + LANES], n - 1)
             pool[:, 0], cost[:, 0], opened[:, 0] = first, _row_distances(q, self.data, first[:, None])[:, 0], False
-            seen[lanes, first] = True
+            seen[lanes * n + first] = True
             live = lanes
             while len(live):
                 todo = np.where(opened[live], np.inf, cost[live])
-                j = np.argpartition(todo, min(OPEN, ef) - 1, axis=1)[:, :OPEN] if ef > OPEN else np.argsort(todo, axis=1)
+                j = np.argpartition(todo, OPEN - 1, axis=1)[:, :OPEN] if ef > OPEN else np.argsort(todo, axis=1)
                 fresh = np.isfinite(np.take_along_axis(todo, j, 1))
                 some = fresh.any(axis=1)
                 live, j, fresh = live[some], j[some], fresh[some]
@@ -177,22 +180,25 @@ class Graph:
                     break
                 opened[live[:, None], j] = True
                 near = self.near[k][np.maximum(pool[live[:, None], j], 0)].astype(np.int64)
-                near[~fresh] = -1
-                near = np.sort(near.reshape(len(live), -1), axis=1)
-                near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-                near[near >= n] = -1
-                near[seen[live[:, None], np.maximum(near, 0)]] = -1
-                real = near >= 0
-                seen[np.repeat(live, real.sum(axis=1)), near[real]] = True
-                d = np.full(near.shape, np.inf, np.float32)
-                row = np.repeat(np.arange(len(live)), real.sum(axis=1))
-                x, y = self.data[near[real]], q[live][row]
-                d[real] = np.einsum("nd,nd->n", x, x) - 2 * np.einsum("nd,nd->n", x, y)
+                at = (live[:, None, None] * n + near)[fresh[:, :, None] & (near >= 0) & (near < n)]
+                at = at[~seen[at]]
+                # a node that several opened ones name counts once, where it is named last
+                last[at] = nth = np.arange(len(at), dtype=np.int32)
+                at = at[last[at] == nth]
+                seen[at] = True
+                row, node = np.divmod(at, n)
+                count = np.bincount(row, minlength=len(q))[live]
+                x, dot, to = self.data[node], np.empty(len(node), np.float32), np.cumsum(count)
+                for i, lo, hi in zip(live.tolist(), (to - count).tolist(), to.tolist(), strict=True):
+                    np.dot(x[lo:hi], q[i], out=dot[lo:hi])
+                slot = np.arange(int(count.max())) < count[:, None]
+                d, named = np.full(slot.shape, np.inf, np.float32), np.full(slot.shape, -1, np.int32)
+                d[slot], named[slot] = self.square[node] - 2 * dot, node
                 all_d = np.concatenate([cost[live], d], axis=1)
                 keep = np.argpartition(all_d, ef - 1, axis=1)[:, :ef]
                 cost[live] = np.take_along_axis(all_d, keep, 1)
-                pool[live] = np.take_along_axis(np.concatenate([pool[live], near], axis=1), keep, 1)
-                opened[live] = np.take_along_axis(np.concatenate([opened[live], np.zeros(near.shape, bool)], axis=1), keep, 1)
+                pool[live] = np.take_along_axis(np.concatenate([pool[live], named], axis=1), keep, 1)
+                opened[live] = np.take_along_axis(np.concatenate([opened[live], np.zeros(slot.shape, bool)], axis=1), keep, 1)
             order = np.argsort(cost, axis=1, kind="stable")
             ids[begin : begin + LANES], dists[begin : begin + LANES] = np.take_along_axis(pool, order, 1), np.take_along_axis(cost, order, 1)
         # distances carry the query's own length from here on
@@ -268,8 +274,13 @@ def _dealt(rows: DataFrame, sizes: dict[int, int], salt: int, name: str) -> Data
     return dealt.sortWithinPartitions("dim", name, "vec_id").select("dim", name, "vec_id", "v")
 
 
-def _sizes(rows: DataFrame, each: Callable[[int], int]) -> dict[int, int]:
-    return {r["dim"]: -(-r["n"] // each(r["dim"])) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+def _sizes(rows: DataFrame, each: Callable[[int, int], int]) -> dict[int, int]:
+    return {r["dim"]: -(-r["n"] // each(r["dim"], r["n"])) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+
+
+def rows_of_shard(dim: int, n: int, least: int = SHARD) -> int:
+    """Of a shard, where a table has n vectors of dim components."""
+    return max(least, min(-(-n // SHARDS), SHARD_BYTES // (8 * dim)))
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
@@ -295,7 +306,7 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD) -> DataFrame:
             row = [*key, np.concatenate([lists[i] for i in put]).astype("<i8").tobytes(), counts[put].astype("<i4").tobytes(), data[put].astype("<f8").tobytes(), packed["levels"], packed["widths"], packed["near"]]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
 
-    return materialize(_dealt(rows, _sizes(rows, lambda dim: shard_rows), 0, "shard").mapInArrow(build, schema))
+    return materialize(_dealt(rows, _sizes(rows, lambda dim, n: rows_of_shard(dim, n, shard_rows)), 0, "shard").mapInArrow(build, schema))
 
 
 def augmented(data: np.ndarray) -> np.ndarray:
@@ -313,7 +324,7 @@ def search(index: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
             ids, x = _stacked(parts)
             yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8").tobytes()], pa.binary())], ["dim", "block", "q_ids", "q"])
 
-    packed = materialize(_dealt(rows, _sizes(rows, lambda dim: max(1, BLOCK_BYTES // (8 * dim))), 1, "block").mapInArrow(block, "dim int, block int, q_ids binary, q binary"))
+    packed = materialize(_dealt(rows, _sizes(rows, lambda dim, n: max(1, BLOCK_BYTES // (8 * dim))), 1, "block").mapInArrow(block, "dim int, block int, q_ids binary, q binary"))
     size = packed.agg(F.sum(F.octet_length("q") + F.octet_length("q_ids"))).first()[0] or 0
     rounds = max(1, -(-size // MOST_BYTES))
 

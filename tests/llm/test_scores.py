@@ -455,6 +455,23 @@ def test_shards_are_merged(spark, monkeypatch):
     assert len(got) == 500 * 30 and right >= 0.9 * len(got)
 
 
+def test_shards_grow_with_the_table(spark, monkeypatch):
+    """Every query meets every shard, so five times the rows mustn't make five times the shards; full ones stay bounded."""
+    monkeypatch.setattr(hnsw, "SHARDS", 4)
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 8 * 16 * 1000)
+    x = np.random.default_rng(8).normal(size=(6000, 16))
+    docs = hnsw.usable(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"))
+    shards = {n: hnsw.build_index(docs.filter(f"vec_id < {n}"), 200) for n in (300, 800, 4000, 6000)}
+    assert {n: index.count() for n, index in shards.items()} == {300: 2, 800: 4, 4000: 4, 6000: 6}
+    for n, index in shards.items():
+        got, right = hnsw.search(index, docs.filter(f"vec_id < {n} AND vec_id % 20 = 0")).toPandas(), 0
+        for q, own in got.groupby("query_id"):
+            s = x[:n] @ x[q]
+            s[q] = -np.inf
+            right += len(set(own["vec_id"]) & set(np.argsort(-s)[:20]))
+        assert len(got) == n and right >= 0.9 * n
+
+
 def test_matches_by_force():
     """The automaton against looking for each entry at each place."""
     rng = random.Random(7)
