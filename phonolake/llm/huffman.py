@@ -35,6 +35,10 @@ MAX_BITS = 18
 INTERVAL = 512
 BLOCK_IDS = 1 << 20
 END_ID = 2
+#: Parts of words with marks or digits that are kept with their ids.
+PARTS = 100_000
+#: Bytes of ids that are coded at once, few enough for the CPU's caches.
+CODE_BYTES = 1 << 18
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -156,20 +160,28 @@ class Library:
         self.newline = self.of.encode("\n", add_special_tokens=False).ids[0]
         self.split = regex.compile(PATTERN)
         self.letters = {b: c for c, b in byte_letters().items()}
+        self.parts: dict[str, tuple[int, ...]] = {}
         specials = [t.content for t in self.of.get_added_tokens_decoder().values()]
         self.table = PieceTable(self.words, lambda t: np.array(self.of.encode(t, add_special_tokens=False).ids, np.uint32), self.newline, specials)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pre-split as the vocabulary's pattern has it, each part by the library's model."""
-        model, found, letters = self.of.model.tokenize, self.split.findall, self.letters
-        ids, sizes = [], np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            before = len(ids)
-            for part in (w,) if w[w[0] == " " :].isalpha() else found(w):
-                part = part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(letters)
-                ids += [t.id for t in model(part)]
-            sizes[i] = len(ids) - before
-        return np.array(ids, np.uint32), sizes
+        """Pre-split as the vocabulary's pattern has it, each part by the library's model. Words of several parts mostly
+        share them, as a word before a comma or a full stop does, so theirs are kept."""
+        model, found, letters, parts = self.of.model.tokenize, self.split.findall, self.letters, self.parts
+        if len(parts) > PARTS:
+            parts.clear()
+        ids, ends = [], []
+        for w in words:
+            if w[w[0] == " " :].isalpha():
+                ids += [t.id for t in model(w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(letters))]
+            else:
+                for part in found(w):
+                    own = parts.get(part)
+                    if own is None:
+                        own = parts[part] = tuple([t.id for t in model(part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(letters))])
+                    ids += own
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(np.array(ends, np.int64), prepend=0)
 
 
 _loaded: dict[str, Library] = {}
@@ -254,7 +266,7 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, parts: int | None = N
     names = ["part", "doc_id", "n", "coded", "offsets"]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "ids"):
+        for b in steps(batches, "ids", CODE_BYTES):
             n = np.array(column(b, "n"))
             ids = np.frombuffer(b"".join(column(b, "ids").to_pylist()), kind).astype(np.int64)
             data, size, offsets, stretches = pack(ids, n, words, lengths)

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space besides single spaces and line ends, control separators, and the two marks used below.
 ODD = re.compile("[\x01\x02\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -     　]")
@@ -100,21 +102,23 @@ class PieceTable:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each text's."""
-        get = self.seen.__getitem__
-        index, count, aside = [], np.zeros(len(texts), np.int64), {}
+        own, count, aside = [], np.zeros(len(texts), np.int64), {}
         for i, text in enumerate(texts):
             if not text:
                 continue
             if not plain(text, self.marks):
                 aside[i] = self.whole(text)
                 continue
-            parts = text.replace(NEWLINE, " \n").split(" ")
-            parts[0] = "\x01" + parts[0]
-            index.append(np.fromiter(map(get, parts), np.int64, len(parts)))
-            count[i] = len(parts)
+            own.append("\x01" + text.replace(NEWLINE, " \n"))
+            count[i] = 1
+        # equal pieces of all texts are found by Arrow, so each is looked up once
+        pieces = pc.split_pattern(pa.array(own, pa.large_string()), " ")
+        named = pieces.flatten().dictionary_encode()
+        names = named.dictionary.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter(map(self.seen.__getitem__, names), np.int64, len(names))[named.indices.to_numpy()]
+        count[count > 0] = pc.list_value_length(pieces).to_numpy()
         if self.seen.new:
             self._learn()
-        numbers = np.concatenate(index) if index else np.empty(0, np.int64)
         self.used += np.bincount(numbers, minlength=len(self.used))
         sizes = self.size[numbers]
         ends = np.cumsum(sizes)

@@ -89,6 +89,27 @@ def test_files(spark, odd_docs, clashing_docs, no_docs, library, tmp_path):
     assert list(np.frombuffer(r["ids"], "<u4")) == [*library.encode("a", add_special_tokens=False).ids, huffman.END_ID]
 
 
+def test_parts_of_words_are_shared(library, monkeypatch):
+    """A word goes to the library's model once, whatever marks follow it."""
+    own, met = huffman.Library(vocabulary()), []
+    model = own.of.model
+
+    class Model:
+        def tokenize(self, part):
+            met.append(part)
+            return model.tokenize(part)
+
+    monkeypatch.setattr(own, "of", type("Of", (), {"model": Model()}))
+    words = [" tion" + mark for mark in (",", ".", ";", "1", "!", " é,"[1:], ",")] + [" tion", "tion,"]
+    for limit in (100, 0):
+        monkeypatch.setattr(huffman, "PARTS", limit, raising=False)
+        ids, sizes = own.words(words)
+        cut = np.concatenate([[0], np.cumsum(sizes)])
+        assert [list(ids[a:b]) for a, b in zip(cut, cut[1:], strict=False)] == [library.encode(w, add_special_tokens=False).ids for w in words]
+        if limit:
+            assert met.count("\u0120tion") == 2  # of words with marks, and of the word alone
+
+
 def test_a_word_without_end(library):
     """A walk over labels stops at the longest one, so a word's time grows with its length."""
     text = "abcdefghij" * 30_000
