@@ -44,6 +44,13 @@ def phonemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", ps.alias("ps"), ((n % 7) - 2.5 + (n % 2) * 0.5).alias("raw_stress"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in two partitions a core at least, for kernels: tables of a few row groups else leave most cores idle. Larger ones
+    stay as they are."""
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def stress(raw: Column) -> Column:
     """-2, -1, -0.5, 0, 0.5, 1 or 2."""
     return F.when(raw < -1.5, -2.0).when(raw < -0.5, -1.0).when(raw < 0, -0.5).when(raw < 0.5, 0.0).when(raw < 1.5, 0.5).when(raw < 2.5, 1.0).otherwise(2.0)
