@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import lookup as L
 from ..operators import mining as M
 from . import query, table
 from .common import TOKENS_SQL, tokens
@@ -32,7 +33,7 @@ def bigram_counts_top(spark, sf_dir):
 SELECT w1, w2, count(*) AS n FROM b ANTI JOIN x USING (w1, w2) GROUP BY ALL"""
 )
 def bigrams_not_in_benchmark(spark, sf_dir):
-    return _pairs(spark, sf_dir).join(_pairs(spark, sf_dir, "benchmark").select("w1", "w2"), ["w1", "w2"], "left_anti")
+    return _pairs(spark, sf_dir).join(L.sized(_pairs(spark, sf_dir, "benchmark").select("w1", "w2")), ["w1", "w2"], "left_anti")
 
 
 @query("SELECT text, min(doc_id) AS doc_id, min_by(lang, doc_id) AS lang FROM documents GROUP BY text")
