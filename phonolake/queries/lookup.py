@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import lookup as L
+from ..operators import mining as M
 from . import query, table
 from .common import TOKENS_SQL, tokens
 
@@ -70,12 +72,12 @@ def case_variant_lookup(spark, sf_dir):
 SELECT p.doc_id, count(*) AS n_tokens, count(x.n) AS n_exceptions FROM p LEFT JOIN x USING (w1, word) GROUP BY p.doc_id"""
 )
 def pair_exceptions(spark, sf_dir):
-    from pyspark.sql import Window
-
-    toks = tokens(spark, sf_dir)
-    before = toks.withColumn("w1", F.lag("word").over(Window.partitionBy("doc_id").orderBy("i"))).filter("w1 IS NOT NULL")
-    pairs = before.groupBy("w1", F.col("word").alias("w2")).agg(F.count("*").alias("hits")).filter("hits >= 40")
-    return L.with_pair_exceptions(toks, pairs, ["doc_id"], "i", "word").groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count("hits").alias("n_exceptions"))
+    """Words and the ones before them come from each document's array, without a sort; the pairs are made once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.word_tokens(F.col("text")).alias("ws"))
+    pairs = M.bigram_counts(docs, F.col("ws")).withColumnRenamed("n", "hits").filter("hits >= 40").persist()
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("ws"))
+    toks = docs.filter(F.size("ws") > 0).select("doc_id", F.inline_outer(F.arrays_zip(before.alias("w1"), F.col("ws").alias("w2"))).alias("w1", "w2")).filter("w2 IS NOT NULL")
+    return toks.join(L.sized(pairs), ["w1", "w2"], "left").groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count("hits").alias("n_exceptions"))
 
 
 @query(
