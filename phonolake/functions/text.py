@@ -333,10 +333,11 @@ ABBREVIATIONS = "mr mrs ms dr st vs etc no prof rev col gen capt lt hon jr sr vo
 
 def prose_sentences(text: Column, abbreviations: str = ABBREVIATIONS) -> Column:
     """Cut after closing marks that white space and a capital, digit or opening mark follow, but not after an abbreviation
-    or a single capital. Blank pieces are left out; null gives null."""
+    or a single capital. Blank pieces are left out; null gives null. What stands before a mark is looked at there only, as the
+    pattern asks for the mark first."""
     kept = "|".join(rf"\Q{a}\E" for a in abbreviations.split())
     spared = rf"""(?<!(?<!\S)["'“‘(\[]{{0,4}}(?:(?i:{kept})|\p{{Lu}}))"""
-    end = rf"""(?<![.!?…]){spared}([.!?…]+['"”’)\]]*)\s+(?=[\p{{Lu}}\p{{Nd}}“"'‘(\[])"""
+    end = rf"""(?=[.!?…])(?<![.!?…]){spared}([.!?…]+['"”’)\]]*)\s+(?=[\p{{Lu}}\p{{Nd}}“"'‘(\[])"""
     pieces = F.split(F.regexp_replace(text, end, "$1\u0001"), "\u0001")
     return F.filter(F.transform(pieces, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
