@@ -103,6 +103,19 @@ def future_context_rows(words: DataFrame, by: list[str], order: str) -> DataFram
     return words.withColumns({"vowel": vowel, "to": F.coalesce(F.lag(to).over(back), F.lit(False))})
 
 
+def future_context_counts(words: Column) -> Column:
+    """Of an array of words (letters, marks, digits, without white space) that are their own phonemes: how many have a vowel
+    after them, and how many a "to": (vowel, to). Written with one sign for each telling word, those before a vowel are the
+    spaces before its sign."""
+    vowel, other = "\ue001", "\ue002"
+    rest = T.CONSONANTS + T.PLAIN_PUNCTUATION
+    signs = F.translate(F.array_join(words, " "), T.VOWELS + rest, vowel * len(T.VOWELS) + other * len(rest))
+    first = F.regexp_replace(signs, f"(?<=[{vowel}{other}])[^ ]++|[^{vowel}{other} ]++", "")
+    before = F.rtrim(F.regexp_replace(first, f"(?<! ) *+{other}", ""))
+    to = F.size(words) - F.size(F.array_remove(F.array_remove(F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 1)), "to"), "To")) - 1
+    return F.struct((F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))).cast("bigint").alias("vowel"), F.greatest(F.lit(0), to).cast("bigint").alias("to"))
+
+
 def joined_boundaries(forms: Column) -> Column:
     """forms: array<struct<form, o_nasal, o_len, ctx, tails>>. Each word's front changes by whether the word before ends in
     a nasal, then the end of the word before by the class of this one."""
