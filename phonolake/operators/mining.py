@@ -110,10 +110,12 @@ def first_character_lengths(words: DataFrame, word: str) -> DataFrame:
 
 
 def drop_redundant_case(rows: DataFrame, word: str, payload: str) -> DataFrame:
-    """Rows whose word isn't in small letters go where the small word has the same payload."""
-    low = rows.filter(F.col(word) == F.lower(word)).select(F.col(word).alias("_low"), F.col(payload).alias("_payload"))
-    redundant = (F.lower(word) == F.col("_low")) & F.col(payload).eqNullSafe(F.col("_payload")) & (F.col(word) != F.col("_low"))
-    return rows.join(low, redundant, "left_anti")
+    """Rows whose word isn't in small letters go where the small word has the same payload. Words meet by their small form,
+    so rows are made once."""
+    small = F.col(word) == F.lower(word)
+    own = F.collect_set(F.when(small, F.struct(F.col(payload).alias("p")))).over(Window.partitionBy(F.lower(word)))
+    same = F.exists("_own", lambda x: x["p"].eqNullSafe(F.col(payload)))
+    return rows.withColumn("_own", own).filter(F.coalesce(small, F.lit(True)) | ~same).drop("_own")
 
 
 def windows_of(words: DataFrame, shapes: list[tuple[int, int]], word: str = "word", emission: str = "emission") -> DataFrame:
