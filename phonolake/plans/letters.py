@@ -6,16 +6,18 @@ general. Only the alignment is a kernel; the probabilities it needs number lette
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lookup as L
 from ..operators import mining as M
-from ..operators.kernels import align
+from ..operators.kernels import Aligner
+from . import slices
 from .espeak import ACCENTED, LetterToSound
 
 MOST_PROBABILITIES = 500_000
@@ -33,24 +35,36 @@ def pattern(phonemes: Column) -> Column:
 
 
 def aligned(words: DataFrame, rounds: int = 5, most: int = 3) -> DataFrame:
-    """words: (word, phonemes). Adds emission, a chunk for each letter; words that can't be aligned go."""
-    pairs = words.select("word", "phonemes", F.split("word", "").alias("_l"), bare_units(F.col("phonemes")).alias("_u"))
-    zipped = lambda a, b: F.explode_outer(F.zip_with(a, b, lambda x, y: F.struct(x.alias("letter"), y.alias("chunk"))))
-    counted = pairs.filter(F.size("_l") == F.size("_u")).select(zipped(F.col("_l"), F.col("_u")).alias("z"))
-    out = None
+    """words: (word, phonemes). Adds emission, a chunk for each letter; words that can't be aligned go. The words are made
+    once; rounds add up what letters and chunks meet inside the kernel, so only counts leave it."""
+    pairs = words.select("word", "phonemes").persist().select("word", "phonemes", F.split("word", "").alias("_l"), bare_units(F.col("phonemes")).alias("_u"))
+    table: dict | None = None
+
+    def emissions(batches: Iterator[pa.RecordBatch], table: dict | None) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+        """Letters and chunks; without a table only of words with a unit for each letter."""
+        best = None if table is None else Aligner(table, most)
+        for b in slices(batches):
+            letters, units = b["_l"].to_pylist(), b["_u"].to_pylist()
+            made = [None if x is None or u is None else best(x, u) if best else u if len(x) == len(u) else None for x, u in zip(letters, units, strict=True)]
+            yield b, letters, made
+
     for _ in range(rounds):
-        rows = M.log_probability(counted.filter("z IS NOT NULL").select("z.letter", "z.chunk"), "letter", "chunk").limit(MOST_PROBABILITIES + 1).collect()
+
+        def count(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            n = Counter(z for _, letters, made in emissions(batches, table) for x, e in zip(letters, made, strict=True) if e is not None for z in zip(x, e, strict=True))
+            yield pa.record_batch([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(n.values(), pa.int64())], ["letter", "chunk", "n"])
+
+        per = pairs.mapInArrow(count, "letter string, chunk string, n long").groupBy("letter", "chunk").agg(F.sum("n").alias("n"))
+        rows = per.withColumn("lp", F.ln(F.col("n") / F.sum("n").over(Window.partitionBy("letter")))).limit(MOST_PROBABILITIES + 1).collect()
         if len(rows) > MOST_PROBABILITIES:
             raise ValueError("too many different chunks for one table of probabilities")
         table = {(r["letter"], r["chunk"]): r["lp"] for r in rows}
 
-        def run(batches: Iterator[pd.DataFrame], table=table) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame({"word": b["word"], "phonemes": b["phonemes"], "emission": [align(list(x), list(u), table, most) for x, u in zip(b["_l"], b["_u"], strict=True)]})
+    def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+        for b, _, made in emissions(batches, table):
+            yield pa.record_batch([b["word"], b["phonemes"], pa.array(made, pa.list_(pa.string()))], ["word", "phonemes", "emission"])
 
-        out = pairs.mapInPandas(run, "word string, phonemes string, emission array<string>").filter("emission IS NOT NULL")
-        counted = out.select(zipped(F.split("word", ""), F.col("emission")).alias("z"))
-    return out
+    return pairs.mapInArrow(run, "word string, phonemes string, emission array<string>").filter("emission IS NOT NULL")
 
 
 def stress_features(word: Column, emission: Column) -> tuple[Column, Column]:
